@@ -97,13 +97,16 @@ def segment_keys(shingles: np.ndarray, plan: Plan) -> np.ndarray:
     out = []
     for band in plan.bands(len(shingles)):
         n, spare = plan.segments(band)
+        # only as many of the band's segments as the set's own largest distance to a partner asks for
+        ask = min(n, plan.most_apart(len(shingles) + len(shingles) * plan.whole // plan.part) + 1 + spare)
         at = ((shingles >> _U(17)) % _U(n)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         at = at[order]
+        order, at = order[at < ask], at[at < ask]
         first = np.flatnonzero(np.diff(at, prepend=-1))
-        prints, used = np.bitwise_xor.reduceat(shingles[order], first), at[first]
-        if n - len(used) > spare:
-            empty = np.setdiff1d(np.arange(n), used)
+        prints, used = np.bitwise_xor.reduceat(shingles[order], first) if len(at) else np.empty(0, _U), at[first]
+        if ask - len(used) > spare:
+            empty = np.setdiff1d(np.arange(ask), used)
             prints, used = np.append(prints, np.zeros(len(empty), _U)), np.append(used, empty)
         out.append(mix(prints ^ mix(used.astype(_U) * _U(1_000_003) + _U(band + 1))))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
@@ -167,15 +170,13 @@ def forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarra
 
 
 def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame | None, tested: DataFrame | None, plan: Plan) -> DataFrame:
-    """Untested pairs (a, b) of sets that share a segment and aren't connected: no more per segment than
-    it has components."""
+    """Untested pairs (a, b, key) of sets that share the segment key and aren't connected: no more per segment
+    than it has components."""
     rows = cand.select("key", "sid", "parts")
     if comp is None:
         rows = rows.withColumn("comp", F.col("sid"))
     else:
         rows = rows.join(comp, F.col("sid") == F.col("node"), "left").select("key", "sid", "parts", F.coalesce("comp", "sid").alias("comp"))
-        still = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        rows = rows.join(still, "key")
     part = F.pmod(F.xxhash64("sid"), "parts").cast("int")
     block = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, part) * F.col("parts") + F.greatest(x, part))
     rows = rows.withColumn("block", F.explode(block))
@@ -190,7 +191,7 @@ def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame | None, tested:
         held: list[pa.RecordBatch] = []
 
         def solve(t: pa.Table) -> pa.RecordBatch:
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, int]] = []
             if t.num_rows:
                 key, block, sid, n, comp = (t.column(c).to_numpy() for c in ("key", "block", "sid", "n", "comp"))
                 flat = np.concatenate([c.flatten().to_numpy() for c in t.column("sketch").chunks]).view(np.uint64).reshape(len(sid), -1)
@@ -198,9 +199,8 @@ def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame | None, tested:
                 cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1
                 for lo, hi in zip([0, *cuts], [*cuts, len(sid)]):
                     if hi - lo > 1:
-                        out += forest(sid[lo:hi], n[lo:hi], comp[lo:hi], flat[lo:hi], tested[lo:hi], plan)
-            out = list(dict.fromkeys(out))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                        out += [(a, b, int(key[lo])) for a, b in forest(sid[lo:hi], n[lo:hi], comp[lo:hi], flat[lo:hi], tested[lo:hi], plan)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "key"])
 
         last = None
         for batch in batches:
@@ -221,7 +221,7 @@ def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame | None, tested:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, key long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
@@ -301,11 +301,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = F.ceil(F.col("members") / F.lit(GROUP_BLOCK)).cast("int")
     cand = written(keyed.join(shared.select("key", parts.alias("parts")), "key"))
     comp, edges, tested = None, None, None
-    while True:
-        pairs = written(candidates(cand, reps, comp, tested, plan))
-        if pairs.isEmpty():
+    while not cand.isEmpty():
+        asked = written(candidates(cand, reps, comp, tested, plan))
+        if asked.isEmpty():
             break
+        pairs = asked.select("a", "b").distinct()
         links = verified(pairs, reps, texts, plan)
+        # pairs that no tree of a segment's forest holds are ruled out; only where a tree has lost an edge, new pairs can come up
+        lost = asked.join(links, ["a", "b"], "left_anti").select("key").distinct()
+        cand = written(cand.join(lost, "key", "left_semi"))
         edges = links if edges is None else edges.union(links)
         tested = pairs if tested is None else tested.union(pairs)
         comp = components(edges)
