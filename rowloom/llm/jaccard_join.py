@@ -23,6 +23,7 @@ names do no harm.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +40,12 @@ SKETCH_BITS = 1024
 RATIO = 1.5
 #: Members of a segment's group that one task compares at once.
 GROUP_BLOCK = 10_000
+#: Slots of the filter on ids, a bound on the rows that are broadcast.
+FILTER_SLOTS = 1 << 20
 
 
 class Plan:
-    """Bands and segments for links with union * part >= intersection * whole turned round: part / whole <= Jaccard."""
+    """Bands and segments for links: whole * intersection >= part * union."""
 
     def __init__(self, part: int = 90, whole: int = 100, width: int = 3):
         self.part, self.whole, self.width = part, whole, width
@@ -62,7 +65,8 @@ class Plan:
     def segments(self, band: int) -> tuple[int, int]:
         """(segments, those of them beyond the pigeonhole's need)."""
         apart = self.most_apart(2 * (self.limits[band + 1] - 1))
-        spare = 3 + apart // 16
+        # segments that the band's smallest sets leave empty, with some room
+        spare = 3 + int(1.5 * apart * math.exp(-self.limits[band] / (apart + 1)))
         return apart + 1 + spare, spare
 
     def bands(self, n: int) -> list[int]:
@@ -135,6 +139,12 @@ def describe(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(run, f"uid long, id {kind}, n long, lo long, hi long, sketch array<long>, keys array<long>")
 
 
+def alike(m: np.ndarray, x: np.ndarray, k: np.ndarray, y: np.ndarray, plan: Plan) -> np.ndarray:
+    """Whether sets of m and k shingles may be linked, by their sizes and the Hamming distance of their sketches."""
+    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return (np.minimum(m, k) * plan.whole >= np.maximum(m, k) * plan.part) & (apart <= (m + k) * (plan.whole - plan.part) // (plan.whole + plan.part))
+
+
 def forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarray, tested: list, plan: Plan) -> list[tuple[int, int]]:
     """Edges of a spanning forest over the sets of one key, between components only: each edge is a pair that
     size and sketch allow and that wasn't tested. Breadth first, so a group whose members all resemble
@@ -152,9 +162,7 @@ def forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarra
         while queue and waiting.any():
             at = queue.pop()
             rest = np.flatnonzero(waiting)
-            apart = np.bitwise_count(sketches[rest] ^ sketches[at]).sum(axis=1)
-            m, k = n[rest], n[at]
-            near = (np.minimum(m, k) * plan.whole >= np.maximum(m, k) * plan.part) & (apart <= (m + k) * (plan.whole - plan.part) // (plan.whole + plan.part))
+            near = alike(n[rest], sketches[rest], n[at], sketches[at], plan)
             for x in rest[near]:
                 if not waiting[x]:
                     continue
@@ -197,8 +205,12 @@ def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame | None, tested:
                 flat = np.concatenate([c.flatten().to_numpy() for c in t.column("sketch").chunks]).view(np.uint64).reshape(len(sid), -1)
                 tested = t.column("tested").to_pylist()
                 cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1
-                for lo, hi in zip([0, *cuts], [*cuts, len(sid)]):
-                    if hi - lo > 1:
+                lo, hi = np.append(0, cuts), np.append(cuts, len(sid))
+                worth = hi - lo > 1
+                two = np.flatnonzero(hi - lo == 2)  # most groups: judged at once
+                worth[two] = alike(n[lo[two]], flat[lo[two]], n[lo[two] + 1], flat[lo[two] + 1], plan)
+                for lo, hi in zip(lo[worth].tolist(), hi[worth].tolist()):
+                    if hi - lo > 64 or alike(n[lo:hi, None], flat[lo:hi, None], n[lo:hi], flat[lo:hi], plan).sum() > hi - lo:
                         out += [(a, b, int(key[lo])) for a, b in forest(sid[lo:hi], n[lo:hi], comp[lo:hi], flat[lo:hi], tested[lo:hi], plan)]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "key"])
 
@@ -232,9 +244,11 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, plan: Plan) ->
     sizes = F.col("n_a") + F.col("n_b")
     possible = (F.least("n_a", "n_b") * plan.whole >= F.greatest("n_a", "n_b") * plan.part) & (apart <= F.floor(sizes * (plan.whole - plan.part) / (plan.whole + plan.part)))
     possible = written(known.filter(possible).select("a", "b", "lo_a", "lo_b"))
-    # the texts of the smaller side of the question: only documents in some pair
+    # only texts of some pair; a filter of at most FILTER_SLOTS numbers keeps most others out of the shuffle
     ends = possible.select(F.col("a").alias("uid")).union(possible.select(F.col("b").alias("uid"))).distinct()
-    needed = written(texts.select("uid", "text").join(ends, "uid", "left_semi"))
+    slot = F.pmod(F.xxhash64("uid"), F.lit(FILTER_SLOTS)).cast("int").alias("slot")
+    near = texts.select("uid", "text", slot).join(F.broadcast(ends.select(slot).distinct()), "slot", "left_semi")
+    needed = written(near.select("uid", "text").join(ends, "uid", "left_semi"))
     pulled = possible.join(needed.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

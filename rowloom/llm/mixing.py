@@ -7,7 +7,8 @@ on the border gives a part of its words.
 
 Cases: a null or blank text has size 0 and takes nothing; a null id or source is a value like any
 other; rows that repeat an id are separate rows, equal keys go by id and size; an empty table gives
-an empty result. The input's columns are carried inside one struct, so clashing names do no harm.
+an empty result. The mixed documents carry the input's columns inside one struct, so clashing names
+do no harm; they are found by a row's place in the scan, so docs must be a scan of a table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ SHARE = 1.5
 CAP = 2
 SEED = "mix-1"
 #: Documents of a source that one task sorts, on average.
-ROWS_PER_BIN = 20_000
+ROWS_PER_BIN = 2_000
 
 
 def quality(text: Column, size: Column) -> Column:
@@ -57,22 +58,18 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return by.select("source", "n_rows", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, keep: list[str] | None = None, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
-    """Each document with size, source_size, target, taken (words the mix takes) and, as struct
-    `row`, the columns named in keep. Prefix sums run in bins of key ranges, whose totals are summed
-    before, so a source of any size spreads over many tasks."""
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """Each document's uid (its place in the scan), doc_id, source, size, source_size, target and taken (words
+    the mix takes). Texts are read once; what follows works on numbers. Prefix sums run in bins of key ranges,
+    whose totals are summed before, so a source of any size spreads over many tasks."""
     size = word_count(F.col("text"))
     sized = docs.select(
-        "doc_id", "source", size.alias("size"), quality(F.col("text"), size).alias("quality"),
+        F.monotonically_increasing_id().alias("uid"), "doc_id", "source", size.alias("size"), quality(F.col("text"), size).alias("quality"),
         uniform(F.concat(F.lit(seed + "|"), id_text("doc_id"), F.lit("|"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("u"),
-        F.struct(*(keep or ["doc_id"])).alias("row"),
     )
-    slim = written(sized.drop("row")) if not keep else None
-    small = slim if slim is not None else sized.drop("row")
-    targets = written(source_targets(small, weights, share, cap))
-    keyed = (slim.withColumn("row", F.struct("doc_id")) if slim is not None else sized).join(
-        targets.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source"))
-    )
+    slim = written(sized)
+    targets = written(source_targets(slim, weights, share, cap))
+    keyed = slim.join(targets.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")))
     keyed = keyed.withColumn("key", -F.log("u") / F.col("quality"))
     # 1 - exp(-key) rises with the key and lies in (0, 1)
     n_bins = F.ceil(F.col("n_rows") / F.lit(rows_per_bin))
@@ -87,18 +84,18 @@ def mix_sources(docs: DataFrame, keep: list[str] | None = None, weights: tuple =
     epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long")
     left = whole - epochs * F.col("source_size") - F.col("start") - F.col("before")
     part = F.greatest(F.lit(0), F.least("size", left))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "row")
+    return placed.select("uid", "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole copy taken, and one with the
     first words, joined by single spaces, where a part is taken."""
     names = docs.columns
-    taken = mix_sources(docs, names)
-    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
-    cuts = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    rows = taken.filter("taken > 0").select("row", "size", F.explode(cuts).alias("cut"))
+    taken = mix_sources(docs).filter("taken > 0")
+    rest = F.col("taken") % F.col("size")
+    cuts = F.concat(F.array_repeat(F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*names).alias("row"))
+    rows = rows.join(taken.select("uid", "size", cuts.alias("cuts")), "uid").select("row", "size", F.explode("cuts").alias("cut"))
     words = F.filter(F.split(F.col("row.text"), f"[{WS_CLASS}]+"), lambda w: w != "")
     text = F.when(F.col("cut") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(words, 1, F.col("cut").cast("int")), " "))
     own = {"text": text}

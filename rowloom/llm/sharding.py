@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.common import scratch, table
+from rowloom.llm.common import scratch, table, written
 
 SHARDS = 40
 SEED = 20
@@ -46,7 +46,7 @@ def shuffled_buckets(docs: DataFrame, text_col: str = "text", seed: int = SEED,
     uid = F.monotonically_increasing_id()
     rows = docs.select(uid.alias("uid"), size.alias("size"), F.struct(*docs.columns).alias("row"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(buckets)).cast("int"))
-    rows = rows.repartition(buckets, "bucket")
+    rows = rows.repartitionById(buckets, F.col("bucket"))  # one bucket a task
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -77,6 +77,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", seed: i
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    counts = written(counts)  # its size is then known before the join is planned
     placed = rows.join(counts, F.col("bucket") == F.col("of")).withColumn("at", F.col("first") + F.col("place"))
     # shard s starts at ceil(s * all / shards)
     s = F.expr(f"at * {shards} div all")
