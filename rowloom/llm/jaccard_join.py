@@ -145,13 +145,12 @@ def alike(m: np.ndarray, x: np.ndarray, k: np.ndarray, y: np.ndarray, plan: Plan
     return (np.minimum(m, k) * plan.whole >= np.maximum(m, k) * plan.part) & (apart <= (m + k) * (plan.whole - plan.part) // (plan.whole + plan.part))
 
 
-def forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarray, tested: list, plan: Plan) -> list[tuple[int, int]]:
+def forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarray, known: set, plan: Plan) -> list[tuple[int, int]]:
     """Edges of a spanning forest over the sets of one key, between components only: each edge is a pair that
-    size and sketch allow and that wasn't tested. Breadth first, so a group whose members all resemble
+    size and sketch allow and that isn't known. Breadth first, so a group whose members all resemble
     the first costs one comparison each."""
     _, comp = np.unique(comp, return_inverse=True)
     waiting = np.ones(len(sid), bool)
-    known = {(int(a), int(b)) for a, more in zip(sid, tested) if more is not None for b in more}
     out, queue = [], []
     for start in range(len(sid)):
         if not waiting[start]:
@@ -177,9 +176,9 @@ def forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarra
     return out
 
 
-def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame | None, tested: DataFrame | None, plan: Plan) -> DataFrame:
-    """Untested pairs (a, b, key) of sets that share the segment key and aren't connected: no more per segment
-    than it has components."""
+def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame | None, tested: DataFrame | None, plan: Plan, forests: int = 1) -> DataFrame:
+    """Untested pairs (a, b, key) of sets that share the segment key and aren't connected: so many forests, each
+    without the pairs of those before, with fewer edges than the segment has components."""
     rows = cand.select("key", "sid", "parts")
     if comp is None:
         rows = rows.withColumn("comp", F.col("sid"))
@@ -211,7 +210,13 @@ def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame | None, tested:
                 worth[two] = alike(n[lo[two]], flat[lo[two]], n[lo[two] + 1], flat[lo[two] + 1], plan)
                 for lo, hi in zip(lo[worth].tolist(), hi[worth].tolist()):
                     if hi - lo > 64 or alike(n[lo:hi, None], flat[lo:hi, None], n[lo:hi], flat[lo:hi], plan).sum() > hi - lo:
-                        out += [(a, b, int(key[lo])) for a, b in forest(sid[lo:hi], n[lo:hi], comp[lo:hi], flat[lo:hi], tested[lo:hi], plan)]
+                        known = {(a, b) for a, more in zip(sid[lo:hi].tolist(), tested[lo:hi]) if more is not None for b in more}
+                        for _ in range(forests):
+                            new = forest(sid[lo:hi], n[lo:hi], comp[lo:hi], flat[lo:hi], known, plan)
+                            if not new:
+                                break
+                            known.update(new)
+                            out += [(a, b, int(key[lo])) for a, b in new]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "key"])
 
         last = None
@@ -314,9 +319,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a key's members meet in blocks: every pair of its parts is one block
     parts = F.ceil(F.col("members") / F.lit(GROUP_BLOCK)).cast("int")
     cand = written(keyed.join(shared.select("key", parts.alias("parts")), "key"))
-    comp, edges, tested = None, None, None
+    comp, edges, tested, forests = None, None, None, 1
     while not cand.isEmpty():
-        asked = written(candidates(cand, reps, comp, tested, plan))
+        asked = written(candidates(cand, reps, comp, tested, plan, forests))
         if asked.isEmpty():
             break
         pairs = asked.select("a", "b").distinct()
@@ -324,9 +329,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # pairs that no tree of a segment's forest holds are ruled out; only where a tree has lost an edge, new pairs can come up
         lost = asked.join(links, ["a", "b"], "left_anti").select("key").distinct()
         cand = written(cand.join(lost, "key", "left_semi"))
-        edges = links if edges is None else edges.union(links)
+        if comp is None or not links.isEmpty():
+            edges = links if edges is None else edges.union(links)
+            comp = components(edges)
         tested = pairs if tested is None else tested.union(pairs)
-        comp = components(edges)
+        forests *= 8  # what one round leaves open is hard: near the threshold, and dense
     if comp is None:
         comp = sets.select(F.col("sid").alias("node"), F.col("sid").alias("comp")).limit(0)
     named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("n", "lo", "hi", "min_id", "sid", F.coalesce("comp", "sid").alias("comp"))
