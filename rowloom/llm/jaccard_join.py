@@ -176,22 +176,16 @@ def forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarra
     return out
 
 
-def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame | None, tested: DataFrame | None, plan: Plan, forests: int = 1) -> DataFrame:
+def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame, tested: DataFrame, plan: Plan, forests: int = 1) -> DataFrame:
     """Untested pairs (a, b, key) of sets that share the segment key and aren't connected: so many forests, each
     without the pairs of those before, with fewer edges than the segment has components."""
     rows = cand.select("key", "sid", "parts")
-    if comp is None:
-        rows = rows.withColumn("comp", F.col("sid"))
-    else:
-        rows = rows.join(comp, F.col("sid") == F.col("node"), "left").select("key", "sid", "parts", F.coalesce("comp", "sid").alias("comp"))
+    rows = rows.join(comp, F.col("sid") == F.col("node"), "left").select("key", "sid", "parts", F.coalesce("comp", "sid").alias("comp"))
     part = F.pmod(F.xxhash64("sid"), "parts").cast("int")
     block = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, part) * F.col("parts") + F.greatest(x, part))
     rows = rows.withColumn("block", F.explode(block))
     rows = rows.join(reps.select("sid", "n", "sketch"), "sid")
-    if tested is None:
-        rows = rows.withColumn("tested", F.lit(None).cast("array<bigint>"))
-    else:
-        rows = rows.join(tested.groupBy(F.col("a").alias("sid")).agg(F.collect_set("b").alias("tested")), "sid", "left")
+    rows = rows.join(tested.groupBy(F.col("a").alias("sid")).agg(F.collect_set("b").alias("tested")), "sid", "left")
     rows = rows.select("key", "block", "sid", "n", "comp", "sketch", "tested").repartition("key", "block").sortWithinPartitions("key", "block", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +299,17 @@ def components(edges: DataFrame) -> DataFrame:
     return written(out)
 
 
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows but those whose uid is in dropped. Only rows that share a slot with a dropped one are shuffled; the slots
+    are FILTER_SLOTS numbers at most."""
+    dropped = written(dropped)
+    slot = F.pmod(F.xxhash64("uid"), F.lit(FILTER_SLOTS)).cast("int").alias("slot")
+    slots = F.broadcast(dropped.select(slot).distinct())
+    rows = rows.withColumn("slot", slot)
+    doubtful = rows.join(slots, "slot", "left_semi").join(dropped, "uid", "left_anti")
+    return rows.join(slots, "slot", "left_anti").unionByName(doubtful).drop("slot")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None, keep_uid: bool = False) -> DataFrame:
     """id, n_shingles, component_id of every row of docs (with uid, the row's number in the scan, and
     first_uid, the least of its component, on request)."""
@@ -313,13 +318,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = written(describe(texts, plan))
     by_set = rows.filter("n > 0").groupBy("n", "lo", "hi").agg(F.min("uid").alias("sid"), F.min("id").alias("min_id"))
     sets = written(by_set)
-    reps = written(rows.filter(F.size("keys") > 0).join(sets.select(F.col("sid").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("sid"), "n", "lo", "sketch", "keys"))
+    reps = without(rows.filter(F.size("keys") > 0), rows.join(sets, ["n", "lo", "hi"]).filter("uid <> sid").select("uid"))
+    reps = reps.select(F.col("uid").alias("sid"), "n", "lo", "sketch", "keys")
     keyed = reps.select("sid", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("members")).filter("low < high")
-    # a key's members meet in blocks: every pair of its parts is one block
-    parts = F.ceil(F.col("members") / F.lit(GROUP_BLOCK)).cast("int")
-    cand = written(keyed.join(shared.select("key", parts.alias("parts")), "key"))
-    comp, edges, tested, forests = None, None, None, 1
+    shared = written(shared)
+    # most segments that are shared have two members: they are a pair
+    tested = written(shared.filter("members = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).distinct())
+    edges = verified(tested, reps, texts, plan)
+    comp = components(edges)
+    # the members of the others meet in blocks: every pair of its parts is one block
+    crowded = shared.filter("members > 2").select("key", F.ceil(F.col("members") / F.lit(GROUP_BLOCK)).cast("int").alias("parts"))
+    slot = F.pmod("key", F.lit(FILTER_SLOTS)).cast("int").alias("slot")
+    near = keyed.select("sid", "key", slot).join(F.broadcast(crowded.select(slot).distinct()), "slot", "left_semi")
+    cand = written(near.select("sid", "key").join(crowded, "key"))
+    forests = 1
     while not cand.isEmpty():
         asked = written(candidates(cand, reps, comp, tested, plan, forests))
         if asked.isEmpty():
@@ -329,13 +342,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # pairs that no tree of a segment's forest holds are ruled out; only where a tree has lost an edge, new pairs can come up
         lost = asked.join(links, ["a", "b"], "left_anti").select("key").distinct()
         cand = written(cand.join(lost, "key", "left_semi"))
-        if comp is None or not links.isEmpty():
-            edges = links if edges is None else edges.union(links)
+        if not links.isEmpty():
+            edges = edges.union(links)
             comp = components(edges)
-        tested = pairs if tested is None else tested.union(pairs)
+        tested = tested.union(pairs)
         forests *= 8  # what one round leaves open is hard: near the threshold, and dense
-    if comp is None:
-        comp = sets.select(F.col("sid").alias("node"), F.col("sid").alias("comp")).limit(0)
     named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("n", "lo", "hi", "min_id", "sid", F.coalesce("comp", "sid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.min("sid").alias("first_uid"))
     named = written(named.join(least, "comp").select(F.col("n").alias("k_n"), F.col("lo").alias("k_lo"), F.col("hi").alias("k_hi"), "component_id", "first_uid"))

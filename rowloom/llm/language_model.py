@@ -41,7 +41,7 @@ SUFFIX = 3
 ROOT, LEAF = (0.7, 10.0), (0.8, 20.0)
 SWEEPS, BURN_IN = 4, 1
 #: Bytes of text in a block, and of all text in a part.
-BLOCK_BYTES, PART_BYTES = 24 << 20, 24 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 10 << 20
 SEED = 11
 END = _U(0xE4D0E4D0E4D0E4D1)
 
