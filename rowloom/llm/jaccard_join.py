@@ -42,6 +42,8 @@ RATIO = 1.5
 GROUP_BLOCK = 10_000
 #: Slots of the filter on ids, a bound on the rows that are broadcast.
 FILTER_SLOTS = 1 << 20
+#: The same for the filter on segment keys.
+KEY_SLOTS = 1 << 22
 
 
 class Plan:
@@ -329,7 +331,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = components(edges)
     # the members of the others meet in blocks: every pair of its parts is one block
     crowded = shared.filter("members > 2").select("key", F.ceil(F.col("members") / F.lit(GROUP_BLOCK)).cast("int").alias("parts"))
-    slot = F.pmod("key", F.lit(FILTER_SLOTS)).cast("int").alias("slot")
+    slot = F.pmod("key", F.lit(KEY_SLOTS)).cast("int").alias("slot")
     near = keyed.select("sid", "key", slot).join(F.broadcast(crowded.select(slot).distinct()), "slot", "left_semi")
     cand = written(near.select("sid", "key").join(crowded, "key"))
     forests = 1

@@ -266,8 +266,8 @@ def totals(counts: DataFrame) -> dict:
 
 
 def score(data: DataFrame, counts: DataFrame, sweeps: list[dict], burn_in: int = BURN_IN) -> DataFrame:
-    """block, place, known, base, score: sums over each document's tokens of a part. sweeps: the totals
-    after each seating in counts, the first one included."""
+    """One row per part and block: for the block's documents the known tokens, base and model scores summed
+    over the part's words. sweeps: the totals after each seating in counts, the first one included."""
 
     def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         p, row, last = Part(rows), state.iloc[0], sweeps[-1]
@@ -279,13 +279,27 @@ def score(data: DataFrame, counts: DataFrame, sweeps: list[dict], burn_in: int =
         base = np.log10((d.word_count + 0.1) / (last["n"] + 0.1 * (last["known"] + 1)))
         n = sum(p.sizes)
         by_doc = lambda x: np.bincount(p.doc, weights=x[p.pair_of], minlength=n)
-        out = pd.DataFrame({
-            "block": np.repeat(p.blocks, p.sizes), "place": np.concatenate([np.arange(x) for x in p.sizes]),
-            "known": by_doc((d.word_count > 0)[d.word].astype(float)).astype(np.int64), "base": by_doc(base[d.word]), "score": by_doc(logp),
-        })
-        return out[np.bincount(p.doc, minlength=n) > 0]
+        sums = [by_doc((d.word_count > 0)[d.word].astype(float)), by_doc(base[d.word]), by_doc(logp)]
+        start = np.cumsum([0, *p.sizes])
+        return pd.DataFrame({"block": p.blocks, "sums": [_squeeze(np.stack([x[a:b] for x in sums])) for a, b in zip(start, start[1:])]})
+
+    return data.filter("part >= 0").select(*NAMES, "held").groupBy("part").cogroup(counts.groupBy("part")).applyInPandas(run, "block long, sums binary")
+
+
+def by_document(data: DataFrame, sums: DataFrame, id_col: str) -> DataFrame:
+    """id, held_out, n_tokens, n_known, base_score, score: the parts' sums of each block, added up."""
+    kind = data.schema["ids"].dataType.elementType.simpleString()
+    columns = [id_col, "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(ids: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        row = ids.iloc[0]
+        total = np.zeros((3, len(row["lens"])))
+        for blob in parts["sums"]:
+            total += _spread(blob, np.float64).reshape(total.shape)
+        return pd.DataFrame(dict(zip(columns, [row["ids"], row["held"], row["lens"], total[0].astype(np.int64), total[1], total[2]])))
 
-    return data.filter("part >= 0").select(*NAMES, "held").groupBy("part").cogroup(counts.groupBy("part")).applyInPandas(run, "block long, place long, known long, base double, score double")
+    ids = data.filter("part = -1").select("block", "ids", "held", "lens")
+    return ids.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(run, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, part_bytes: int = PART_BYTES, sweeps: int = SWEEPS) -> DataFrame:
@@ -300,11 +314,7 @@ def model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for i in range(sweeps):
         counts = next_sweep(counts, seen[-1], i)
         seen.append(totals(counts))
-    by_part = score(data, counts, seen)
-    sums = by_part.groupBy("block", "place").agg(F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    known = data.filter("part = -1").select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("ids", "held", "lens")))
-    known = known.select("of", F.col("pos").cast("long").alias("pos"), F.col("col.ids").alias(id_col), F.col("col.held").alias("held_out"), F.col("col.lens").alias("n_tokens"))
-    out = known.join(sums, (F.col("of") == F.col("block")) & (F.col("pos") == F.col("place")))
+    out = by_document(data, score(data, counts, seen), id_col)
     return out.select(
         id_col, "held_out", "n_tokens", "n_known", F.lit(seen[0]["n"]).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
