@@ -72,12 +72,12 @@ class Plan:
         return apart + 1 + spare, spare
 
     def bands(self, n: int) -> list[int]:
-        """A set joins in its own band and, if a larger partner can be there, in the next."""
+        """A set joins in its own band and in those above where a larger partner can be."""
         own = self.band(n)
         if n * self.whole // self.part < self.limits[0]:
             return []
         up = self.band(n * self.whole // self.part)
-        return [b for b in dict.fromkeys((own, up)) if b >= 0]
+        return list(range(max(own, 0), up + 1))
 
 
 def shingle_set(data: bytes, width: int) -> np.ndarray:

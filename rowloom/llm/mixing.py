@@ -51,7 +51,7 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by = by.withColumn("total", F.sum("source_size").over(every) * F.lit(float(share))).withColumn("all_w", F.sum("w").over(every))
     by = by.withColumn("capped", F.coalesce(F.sum("most").over(before), F.lit(0.0))).withColumn("capped_w", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    by = by.withColumn("level", (F.col("total") - F.col("capped")) / (F.col("all_w") - F.col("capped_w")))
+    by = by.withColumn("level", F.try_divide(F.col("total") - F.col("capped"), F.col("all_w") - F.col("capped_w")))
     # the first source in this order that stays below its cap sets the level
     by = by.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "at", "level"))).over(every)["level"])
     target = F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most")))
@@ -81,7 +81,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(bins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin")))
     whole = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     left = whole - epochs * F.col("source_size") - F.col("start") - F.col("before")
     part = F.greatest(F.lit(0), F.least("size", left))
     return placed.select("uid", "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
@@ -92,8 +92,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     first words, joined by single spaces, where a part is taken."""
     names = docs.columns
     taken = mix_sources(docs).filter("taken > 0")
-    rest = F.col("taken") % F.col("size")
-    cuts = F.concat(F.array_repeat(F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    size = F.greatest("size", F.lit(1))  # a filter may run after this
+    rest = F.col("taken") % size
+    cuts = F.concat(F.array_repeat(F.col("size"), F.floor(F.col("taken") / size).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*names).alias("row"))
     rows = rows.join(taken.select("uid", "size", cuts.alias("cuts")), "uid").select("row", "size", F.explode("cuts").alias("cut"))
     words = F.filter(F.split(F.col("row.text"), f"[{WS_CLASS}]+"), lambda w: w != "")
