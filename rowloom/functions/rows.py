@@ -7,6 +7,7 @@ import html.entities
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACES = r"[\x00-\x20]"
 
@@ -57,7 +58,7 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html4(text: pd.Series) -> pd.Series:
     """HTML 4 entities decoded; a semicolon is required, other names (apos) stay."""
     names = html.entities.name2codepoint
