@@ -142,7 +142,7 @@ QUERIES = {
     "median_stddev_hist": lambda s, d: summarize.median_stddev_histogram(t(s, d, "events"), F.hour("ts"), F.length("props")),
     "first_match_bucket": lambda s, d: summarize.first_match_bucket(t(s, d, "part"), "p_name", SIZES),
     "inverted_index": lambda s, d: summarize.inverted_index(t(s, d, "pages"), F.regexp_extract("html", 'href="([^"#]*)', 1), "page_id"),
-    "grep": lambda s, d: filtering.grep(t(s, d, "documents"), "text", "(?s).* of the, .*").select("doc_id"),
+    "grep": lambda s, d: filtering.grep(t(s, d, "documents"), "text", "(?s).* of the .*").select("doc_id"),
     "hot_words": lambda s, d: filtering.hot_words(t(s, d, "documents"), "text", ("worthless", "which", "hein")).select("doc_id"),
     "sample": lambda s, d: filtering.sample(t(s, d, "events"), 10, 3),
     "top_ten": lambda s, d: filtering.top(t(s, d, "customer").select("c_acctbal", "c_custkey"), "c_acctbal", "c_custkey"),
@@ -191,7 +191,7 @@ ORACLE_SQL = {
     "median_stddev_hist": "SELECT hour(ts)::INT AS key, quantile_cont(length(props)::DOUBLE, 0.5) AS median, stddev_samp(length(props)) AS stddev FROM events GROUP BY 1",
     "first_match_bucket": f"SELECT CASE WHEN coalesce(p_name, '') = '' THEN 'NullOrEmpty' ELSE coalesce(list_filter(string_split_regex(upper(p_name), '\\s'), lambda x: list_contains({list(SIZES)}, x))[1], 'Unknown') END AS bucket, count(*) AS n FROM part GROUP BY 1",
     "inverted_index": "SELECT term, string_agg(page_id::VARCHAR, ' ' ORDER BY page_id) AS ids FROM (SELECT page_id, regexp_extract(html, 'href=\"([^\"#]*)', 1) AS term FROM pages) WHERE term <> '' GROUP BY 1",
-    "grep": "SELECT doc_id FROM documents WHERE contains(\"text\", ' of the, ')",
+    "grep": "SELECT doc_id FROM documents WHERE contains(\"text\", ' of the ')",
     "hot_words": "SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split_regex(\"text\", '[ \\t\\n\\r\\f]+')) AS w FROM documents) WHERE replace(w, '''', '') IN ('worthless', 'which', 'hein')",
     "top_ten": "SELECT c_acctbal, max(c_custkey) AS c_custkey FROM customer GROUP BY 1 ORDER BY 1 DESC LIMIT 10",
     "distinct_users": "SELECT DISTINCT user_id FROM events",
