@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The plan holds filters of at most so many bits, a character each.
+LITERAL_BITS = 1 << 22
+
 
 def sizing(n: Column, p: Column) -> tuple[Column, Column]:
     """(bits, hash functions) for n members at false positive rate p."""
@@ -19,8 +22,12 @@ def size_for(n: int, p: float) -> tuple[int, int]:
     return m, round(m / n * math.log(2))
 
 
+def _bit(key: Column, i: int, m: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(m))
+
+
 def _bits(key: Column, m: int, k: int) -> Column:
-    return F.array_distinct(F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(m)) for i in range(k)]))
+    return F.array_distinct(F.array(*[_bit(key, i, m) for i in range(k)]))
 
 
 def train(df: DataFrame, key: str, m: int, k: int) -> DataFrame:
@@ -28,8 +35,13 @@ def train(df: DataFrame, key: str, m: int, k: int) -> DataFrame:
     return df.dropna(subset=[key]).select(F.explode(_bits(F.col(key), m, k)).alias("bit")).distinct()
 
 
-def probe(df: DataFrame, key: str, bits: DataFrame, m: int, k: int) -> DataFrame:
-    """Rows whose key may be a member. The m bits at most are held as bytes, shared with all tasks."""
+def probe(df: DataFrame, key: str, bits: DataFrame, m: int, k: int, most: int = LITERAL_BITS) -> DataFrame:
+    """Rows whose key may be a member. A filter of up to `most` bits travels in the plan; a larger one stays a
+    table, which is joined once per hash function."""
+    if m > most:
+        for i in range(k):
+            df = df.join(bits.select(F.col("bit").alias("__bit")), _bit(F.col(key), i, m) == F.col("__bit"), "left_semi")
+        return df
     got = bytearray(-(-m // 8))
     for (b,) in bits.toLocalIterator():
         got[b >> 3] |= 1 << (b & 7)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("inner", "leftouter", "rightouter", "fullouter", "symmetric_anti")
@@ -57,9 +57,8 @@ def reduced_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, where: Colu
 
 def token_overlap(df: DataFrame, id_col: str, tokens: Column, least: int = 3) -> DataFrame:
     """Ordered pairs of rows whose texts share at least so many tokens, with their number. Tokens are
-    exploded and self-joined, so only pairs that share one meet; texts with equal tokens and rows themselves don't pair."""
-    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("tokens"))
-    each = rows.select("id", F.hash("tokens").alias("h"), F.explode("tokens").alias("token"))
+    exploded and self-joined, so only pairs that share one meet; a row doesn't pair with itself."""
+    each = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens)).alias("token"))
     pairs = each.alias("l").join(each.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.id") != F.col("r.id")))
     return pairs.groupBy(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
@@ -67,7 +66,3 @@ def token_overlap(df: DataFrame, id_col: str, tokens: Column, least: int = 3) ->
 def theta_pairs(a: DataFrame, b: DataFrame, where: Column) -> DataFrame:
     """All pairs where a condition holds: for two small inputs only."""
     return a.crossJoin(b).filter(where)
-
-
-def ranked(df: DataFrame, key: str, by: str) -> DataFrame:
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(by)))

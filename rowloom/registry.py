@@ -26,41 +26,56 @@ def scratch(spark: SparkSession) -> str:
 
 
 def customers(s, d):
-    return t(s, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_acctbal")
+    return t(s, d, "customer").select("c_custkey", "c_acctbal")
 
 
 def orders(s, d):
-    return t(s, d, "orders").filter("o_custkey % 2 = 0").select("o_orderkey", "o_custkey", "o_totalprice")
+    return t(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-PAIR = ["c_custkey", "c_acctbal", "o_orderkey", "o_custkey", "o_totalprice"]
+def events(s, d):
+    return t(s, d, "events").select("event_id", "user_id", "value")
 
 
-def join(how):
-    return lambda s, d: joins.equi_join(customers(s, d), orders(s, d), "c_custkey", "o_custkey", how).select(*PAIR)
+def labels(s, d):
+    return t(s, d, "labels").select("doc_id", "quality")
 
 
-def broadcast(how):
-    return lambda s, d: joins.replicated_join(orders(s, d), customers(s, d), "o_custkey", "c_custkey", "c_acctbal", how).select(*PAIR)
+def turns(s, d):
+    return t(s, d, "conversations").select("conv_id", "turn", "role")
 
 
-def bucket(how):
-    def run(s, d):
-        joins.bucketed(customers(s, d), "rowloom_customers", "c_custkey")
-        joins.bucketed(orders(s, d), "rowloom_orders", "o_custkey")
-        return joins.composite_join(s, "rowloom_customers", "rowloom_orders", "c_custkey", "o_custkey", how).select(*PAIR)
+#: Sides, their keys and the left side's value: every order has a customer, but labels and conversations both have rows without partners.
+MATCHED = (customers, orders, "c_custkey", "o_custkey", "c_acctbal")
+LOOSE = (labels, turns, "doc_id", "conv_id", "quality")
 
-    return run
 
+def join(how, of):
+    left, right, left_key, right_key, _ = of
+    return lambda s, d: joins.equi_join(left(s, d), right(s, d), left_key, right_key, how)
+
+
+def broadcast(how, of):
+    left, right, left_key, right_key, value = of
+    return lambda s, d: joins.replicated_join(right(s, d), left(s, d), right_key, left_key, value, how)
+
+
+def bucket(how, of):
+    left, right, left_key, right_key, _ = of
 
-def reduced(how):
     def run(s, d):
-        a = t(s, d, "customer").select("c_custkey", "c_acctbal")
-        return joins.reduced_join(a, orders(s, d), "c_custkey", "o_custkey", F.col("c_acctbal") > 8000, how).select(*PAIR)
+        names = f"rowloom_{left.__name__}", f"rowloom_{right.__name__}"
+        joins.bucketed(left(s, d), names[0], left_key)
+        joins.bucketed(right(s, d), names[1], right_key)
+        return joins.composite_join(s, *names, left_key, right_key, how)
 
     return run
 
 
+def reduced(how):
+    return lambda s, d: joins.reduced_join(customers(s, d), events(s, d), "c_custkey", "user_id", F.col("c_acctbal") > 8000, how)
+
+
 def hierarchy(s, d):
     kids = t(s, d, "lineitem").select("l_orderkey", "l_linenumber")
     n = organize.nest(t(s, d, "orders").select("o_orderkey"), kids, "o_orderkey", "l_orderkey", ["l_linenumber"])
@@ -151,8 +166,8 @@ QUERIES = {
     "hot_user_semi": lambda s, d: filtering.members(t(s, d, "orders"), "o_custkey", t(s, d, "customer"), "c_custkey", F.col("c_acctbal") >= 9000).select("o_orderkey", "o_custkey"),
     "bloom_probe": bloom_probe,
     "bloom_sizing": lambda s, d: s.createDataFrame([(1000, 0.01), (100, 0.1)], "n long, p double").select("n", "p", bloom.sizing(F.col("n"), F.col("p"))[0].alias("m"), bloom.sizing(F.col("n"), F.col("p"))[1].alias("k")),
-    "join_inner": join("inner"), "join_left": join("leftouter"), "join_right": join("rightouter"), "join_full": join("fullouter"), "join_symmetric_anti": join("symmetric_anti"),
-    "broadcast_inner": broadcast("inner"), "broadcast_left": broadcast("leftouter"), "bucketed_inner": bucket("inner"), "bucketed_full": bucket("outer"),
+    "join_inner": join("inner", MATCHED), "join_left": join("leftouter", LOOSE), "join_right": join("rightouter", LOOSE), "join_full": join("fullouter", LOOSE), "join_symmetric_anti": join("symmetric_anti", LOOSE),
+    "broadcast_inner": broadcast("inner", MATCHED), "broadcast_left": broadcast("leftouter", LOOSE), "bucketed_inner": bucket("inner", MATCHED), "bucketed_full": bucket("outer", LOOSE),
     "bloom_inner": reduced("inner"), "bloom_left": reduced("leftouter"), "bloom_right": reduced("rightouter"), "bloom_full": reduced("fullouter"), "bloom_anti": reduced("symmetric_anti"),
     "token_overlap_pairs": overlap, "token_sets": token_sets, "raw_rows": raw_rows,
     "hierarchy_nested": hierarchy, "question_answers": questions, "multi_bin": multi_bin,
@@ -165,22 +180,19 @@ QUERIES = {
     "merged_anon_distinct": merged,
 }
 
-_C = "(SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0) c"
-_O = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey % 2 = 0) o"
-_P = ", ".join(PAIR)
+_MATCHED = "SELECT c_custkey, c_acctbal, o_orderkey, o_custkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey"
 
 
-def _join(how: str, more: str = "") -> str:
-    return f"SELECT {_P} FROM {_C} {how} JOIN {_O} ON c_custkey = o_custkey{more}"
+def _loose(how: str, more: str = "") -> str:
+    return f"SELECT doc_id, quality, conv_id, turn, role FROM labels {how} JOIN conversations ON doc_id = conv_id{more}"
 
 
 def _reduced(how: str, more: str = "") -> str:
     a = "(SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 8000) c"
-    b = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 8000)) o"
-    return f"SELECT {_P} FROM {a} {how} JOIN {b} ON c_custkey = o_custkey{more}"
+    b = "(SELECT event_id, user_id, value FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 8000)) e"
+    return f"SELECT c_custkey, c_acctbal, event_id, user_id, value FROM {a} {how} JOIN {b} ON c_custkey = user_id{more}"
 
 
-_ANTI = " WHERE c_custkey IS NULL OR o_custkey IS NULL"
 _CHAIN = "WITH n AS (SELECT o_custkey AS \"user\", count(*) AS posts FROM orders GROUP BY 1) SELECT \"user\", posts, c_acctbal AS reputation, CASE WHEN posts < (SELECT sum(posts) / count(*) FROM n) THEN 'belowavg' ELSE 'aboveavg' END AS bin FROM n LEFT JOIN customer ON c_custkey = \"user\""
 
 ORACLE_SQL = {
@@ -199,9 +211,9 @@ ORACLE_SQL = {
     "hot_user_semi": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 9000)",
     "bloom_probe": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 9000)",
     "bloom_sizing": "SELECT n, p, floor(-n * ln(p) / pow(ln(2.0::DOUBLE), 2))::BIGINT AS m, round(floor(-n * ln(p) / pow(ln(2.0::DOUBLE), 2)) / n * ln(2.0::DOUBLE))::BIGINT AS k FROM (VALUES (1000::BIGINT, 0.01::DOUBLE), (100::BIGINT, 0.1::DOUBLE)) v(n, p)",
-    "join_inner": _join("INNER"), "join_left": _join("LEFT"), "join_right": _join("RIGHT"), "join_full": _join("FULL"), "join_symmetric_anti": _join("FULL", _ANTI),
-    "broadcast_inner": _join("INNER"), "broadcast_left": _join("RIGHT"), "bucketed_inner": _join("INNER"), "bucketed_full": _join("FULL"),
-    "bloom_inner": _reduced("INNER"), "bloom_left": _reduced("LEFT"), "bloom_right": _reduced("RIGHT"), "bloom_full": _reduced("FULL"), "bloom_anti": _reduced("FULL", _ANTI),
+    "join_inner": _MATCHED, "join_left": _loose("LEFT"), "join_right": _loose("RIGHT"), "join_full": _loose("FULL"), "join_symmetric_anti": _loose("FULL", " WHERE doc_id IS NULL OR conv_id IS NULL"),
+    "broadcast_inner": _MATCHED, "broadcast_left": _loose("RIGHT"), "bucketed_inner": _MATCHED, "bucketed_full": _loose("FULL"),
+    "bloom_inner": _reduced("INNER"), "bloom_left": _reduced("LEFT"), "bloom_right": _reduced("RIGHT"), "bloom_full": _reduced("FULL"), "bloom_anti": _reduced("FULL", " WHERE c_custkey IS NULL OR user_id IS NULL"),
     "token_overlap_pairs": "WITH e AS (SELECT DISTINCT item_id AS id, w FROM (SELECT item_id, unnest(string_split_regex(\"text\", '\\s+')) AS w FROM benchmark) WHERE w <> '') SELECT l.id AS left_id, r.id AS right_id, count(*) AS shared FROM e l JOIN e r ON l.w = r.w AND l.id <> r.id GROUP BY 1, 2 HAVING count(*) >= 3",
     "token_sets": "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(\"text\"), '[^a-z0-9\\s]', '', 'g'), '\\s'), lambda x: x NOT IN ('', 'the', 'of')))), ',') AS tokens FROM documents WHERE tokens <> ''",
     "raw_rows": "SELECT event_id, user_id, event_type FROM events",
