@@ -35,6 +35,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def record(names: list[str]) -> Column:
+    """All columns of a row in one struct, `row`, so that names made up beside it can't clash."""
+    return F.struct(*[F.col(quoted(c)) for c in names]).alias("row")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The columns of record(names) again."""
+    return [F.col(f"row.{quoted(c)}").alias(c) for c in names]
+
+
 def id_text(col: str) -> Column:
     """The id as text; a null id counts as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import WS_CLASS, scratch, table
+from rowloom.llm.common import WS_CLASS, record, scratch, table, unpacked
 
 #: Rows of one digest are verified in so many parts.
 SALTS = 16
@@ -85,9 +85,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     names = docs.columns
     dropped = dedup_index(docs).filter("uid <> keep_uid").select(F.col("uid").alias("__drop_uid"))
-    rows = docs.select(F.struct(*names).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(record(names), F.monotonically_increasing_id().alias("uid"))
     rows = rows.join(dropped, F.col("uid") == F.col("__drop_uid"), "left_anti")
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    return rows.select(*unpacked(names))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

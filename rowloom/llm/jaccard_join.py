@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import mix, table, word_hashes, written
+from rowloom.llm.common import mix, record, table, unpacked, word_hashes, written
 
 _U = np.uint64
 SKETCH_BITS = 1024
@@ -364,9 +364,9 @@ def one_of_each(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """The first row of each component, with all columns of docs."""
     names = docs.columns
     dropped = similar_components(docs, plan=plan, keep_uid=True).filter("uid <> first_uid").select(F.col("uid").alias("__drop_uid"))
-    rows = docs.select(F.struct(*names).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(record(names), F.monotonically_increasing_id().alias("uid"))
     rows = rows.join(dropped, F.col("uid") == F.col("__drop_uid"), "left_anti")
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    return rows.select(*unpacked(names))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import id_text, table
+from rowloom.llm.common import id_text, record, table, unpacked
 
 #: Hashed trigrams; the model has languages * BUCKETS numbers.
 BUCKETS = 1 << 15
@@ -181,9 +181,8 @@ def identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is known, with all their columns."""
     names = docs.columns
     model = train(docs.filter(~held_out()))
-    row = F.struct(*[F.col(c) for c in names]).alias("row")
-    judged = predict(docs, model, carry=[row])
-    return judged.filter("lang_pred <> 'und'").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    judged = predict(docs, model, carry=[record(names)])
+    return judged.filter("lang_pred <> 'und'").select(*unpacked(names))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

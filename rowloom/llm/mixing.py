@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import WORD, WS_CLASS, id_text, table, word_count, written
+from rowloom.llm.common import WORD, WS_CLASS, id_text, quoted, record, table, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -95,14 +95,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     size = F.greatest("size", F.lit(1))  # a filter may run after this
     rest = F.col("taken") % size
     cuts = F.concat(F.array_repeat(F.col("size"), F.floor(F.col("taken") / size).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*names).alias("row"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), record(names))
     rows = rows.join(taken.select("uid", "size", cuts.alias("cuts")), "uid").select("row", "size", F.explode("cuts").alias("cut"))
     words = F.filter(F.split(F.col("row.text"), f"[{WS_CLASS}]+"), lambda w: w != "")
     text = F.when(F.col("cut") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(words, 1, F.col("cut").cast("int")), " "))
     own = {"text": text}
     if "n_chars" in names:
         own["n_chars"] = F.when(F.col("cut") == F.col("size"), F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
+    return rows.select(*[own.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in names])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

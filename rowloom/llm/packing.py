@@ -8,7 +8,8 @@ cut over the room that is left. A unit opens no more sequences than its tokens n
 sequence's worth of padding is left per unit.
 
 Ids are those of the byte-level BPE vocabulary byte_bpe_50k; the encoder reads the same vocabulary as
-ranks, which tests hold against the tokenizers library.
+ranks, which tests hold against the tokenizers library. Strings of special tokens in a text are
+ordinary text.
 
 Cases: null and empty texts are the single id 0; rows that repeat an id are packed as separate
 documents; a null id is kept; an empty table gives an empty result; very long texts are encoded in

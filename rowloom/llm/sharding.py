@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.common import scratch, table, written
+from rowloom.llm.common import record, scratch, table, written
 
 SHARDS = 40
 SEED = 20
@@ -44,7 +44,7 @@ def shuffled_buckets(docs: DataFrame, text_col: str = "text", seed: int = SEED,
     total = docs.select(size.alias("size")).agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     uid = F.monotonically_increasing_id()
-    rows = docs.select(uid.alias("uid"), size.alias("size"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(uid.alias("uid"), size.alias("size"), record(docs.columns))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(buckets)).cast("int"))
     rows = rows.repartitionById(buckets, F.col("bucket"))  # one bucket a task
 
