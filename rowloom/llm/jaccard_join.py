@@ -314,11 +314,11 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None, keep_uid: bool = False) -> DataFrame:
     """id, n_shingles, component_id of every row of docs (with uid, the row's number in the scan, and
-    first_uid, the least of its component, on request)."""
+    first_uid, that of its component's row with the least id, on request)."""
     plan = plan or Plan()
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = written(describe(texts, plan))
-    by_set = rows.filter("n > 0").groupBy("n", "lo", "hi").agg(F.min("uid").alias("sid"), F.min("id").alias("min_id"))
+    by_set = rows.filter("n > 0").groupBy("n", "lo", "hi").agg(F.min("uid").alias("sid"), F.min("id").alias("min_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"))
     sets = written(by_set)
     reps = without(rows.filter(F.size("keys") > 0), rows.join(sets, ["n", "lo", "hi"]).filter("uid <> sid").select("uid"))
     reps = reps.select(F.col("uid").alias("sid"), "n", "lo", "sketch", "keys")
@@ -349,8 +349,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             comp = components(edges)
         tested = tested.union(pairs)
         forests *= 8  # what one round leaves open is hard: near the threshold, and dense
-    named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("n", "lo", "hi", "min_id", "sid", F.coalesce("comp", "sid").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.min("sid").alias("first_uid"))
+    named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("n", "lo", "hi", "min_id", "first", F.coalesce("comp", "sid").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.min("first")["uid"].alias("first_uid"))
     named = written(named.join(least, "comp").select(F.col("n").alias("k_n"), F.col("lo").alias("k_lo"), F.col("hi").alias("k_hi"), "component_id", "first_uid"))
     out = rows.select("uid", "id", "n", "lo", "hi").join(named, (F.col("n") == F.col("k_n")) & (F.col("lo") == F.col("k_lo")) & (F.col("hi") == F.col("k_hi")), "left")
     out = out.select(
@@ -361,7 +361,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """The first row of each component, with all columns of docs."""
+    """The row of each component with the least id (null last, equal ids by place in the scan), with all columns of docs."""
     names = docs.columns
     dropped = similar_components(docs, plan=plan, keep_uid=True).filter("uid <> first_uid").select(F.col("uid").alias("__drop_uid"))
     rows = docs.select(record(names), F.monotonically_increasing_id().alias("uid"))
