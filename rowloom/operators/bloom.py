@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The plan holds filters of at most so many bits, a character each.
+#: The plan holds filters of at most so many bits, 64 in a number.
 LITERAL_BITS = 1 << 22
 
 
@@ -42,8 +44,15 @@ def probe(df: DataFrame, key: str, bits: DataFrame, m: int, k: int, most: int =
         for i in range(k):
             df = df.join(bits.select(F.col("bit").alias("__bit")), _bit(F.col(key), i, m) == F.col("__bit"), "left_semi")
         return df
-    got = bytearray(-(-m // 8))
-    for (b,) in bits.toLocalIterator():
-        got[b >> 3] |= 1 << (b & 7)
-    text = F.lit("".join(f"{x:08b}"[::-1] for x in got))
-    return df.filter(F.forall(_bits(F.col(key), m, k), lambda b: F.substr(text, (b + 1).cast("int"), F.lit(1)) == "1"))
+    slots = bits.groupBy(F.expr("bit div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    got = [0] * -(-m // 64)
+    for at, held in slots.toLocalIterator():
+        got[at] = held
+    # one constant array, folded when the plan is made: a probe is a look at one number
+    filled = F.split(F.lit(",".join(map(str, got))), ",").cast("array<bigint>")
+
+    def held(bit: Column) -> Column:
+        return F.getbit(F.get(filled, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
+
+    each = [held(_bit(F.col(key), i, m)) for i in range(k)]
+    return df.filter(reduce(and_, each, F.col(key).isNotNull()))
