@@ -8,8 +8,9 @@ is kept as a fingerprint, the XOR of the hashes of its odd bits. SPARE more segm
 that segments without a shingle need not be joined on. A second, 1024-bit sketch per set rejects candidates
 by its Hamming distance; the sets of the others are compared exactly.
 
-No join emits all pairs of a group. Documents with one set are one node. The sets that share a segment are compared by
-sketch inside a task, which emits a spanning forest of the pairs that may be linked; the exact comparison
+No join emits all pairs of a group. Documents with one set are one node. The sets of a segment's large group are held
+against its least one first; groups that this connects are done. The sets that share a segment are then compared by
+sketch inside a task, in blocks of about GROUP_BLOCK, which emits a spanning forest of the pairs that may be linked; the exact comparison
 of these merges components. Then the sets that share a segment but not a component are
 compared anew, without the pairs tested before, until no untested pair is left between two components:
 so the components are those of all links.
@@ -38,8 +39,8 @@ _U = np.uint64
 SKETCH_BITS = 1024
 #: Size bands: [LIMITS[i], LIMITS[i + 1]); below the first, linked sets are equal.
 RATIO = 1.5
-#: Members of a segment's group that one task compares at once.
-GROUP_BLOCK = 10_000
+#: Members of a segment's group that one task compares at once, about.
+GROUP_BLOCK = 2_000
 #: Slots of the filter on ids, a bound on the rows that are broadcast.
 FILTER_SLOTS = 1 << 20
 #: The same for the filter on segment keys.
@@ -237,6 +238,13 @@ def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame, tested: DataFr
     return rows.mapInArrow(run, "a long, b long, key long")
 
 
+def unconnected(cand: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of cand whose key has members of several components."""
+    named = cand.join(comp, F.col("sid") == F.col("node"), "left").select("key", F.coalesce("comp", "sid").alias("comp"))
+    several = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
+    return cand.join(several.select("key"), "key", "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """The linked ones of pairs (a, b): by size and sketch first, then by the sets themselves."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("sketch").alias(f"sketch_{x}"))
@@ -330,10 +338,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = verified(tested, reps, texts, plan)
     comp = components(edges)
     # the members of the others meet in blocks: every pair of its parts is one block
-    crowded = shared.filter("members > 2").select("key", F.ceil(F.col("members") / F.lit(GROUP_BLOCK)).cast("int").alias("parts"))
+    parts = F.when(F.col("members") <= GROUP_BLOCK, 1).otherwise(F.ceil(2 * F.col("members") / F.lit(GROUP_BLOCK))).cast("int")
+    crowded = shared.filter("members > 2").select("key", "low", parts.alias("parts"))
     slot = F.pmod("key", F.lit(KEY_SLOTS)).cast("int").alias("slot")
     near = keyed.select("sid", "key", slot).join(F.broadcast(crowded.select(slot).distinct()), "slot", "left_semi")
     cand = written(near.select("sid", "key").join(crowded, "key"))
+    hubs = written(cand.filter("parts > 1 and sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    if not hubs.isEmpty():
+        edges = edges.union(verified(hubs, reps, texts, plan))
+        comp = components(edges)
+        tested = tested.union(hubs)
+        cand = written(cand.filter("parts = 1").unionByName(unconnected(cand.filter("parts > 1"), comp)))
     forests = 1
     while not cand.isEmpty():
         asked = written(candidates(cand, reps, comp, tested, plan, forests))

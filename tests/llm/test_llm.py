@@ -80,8 +80,9 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.dedup_index(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("part, width", [(90, 3), (80, 5), (50, 1)])
-def test_jaccard_join(spark, docs, part, width):
+@pytest.mark.parametrize("part, width, block", [(90, 3, 2000), (80, 5, 2000), (50, 1, 2000), (50, 1, 3)])
+def test_jaccard_join(spark, docs, monkeypatch, part, width, block):
+    monkeypatch.setattr(jaccard_join, "GROUP_BLOCK", block)
     rows = docs.select("doc_id", "text").collect()
     sets = []
     for r in rows:
