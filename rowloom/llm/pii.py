@@ -32,7 +32,7 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 KINDS = tuple(PATTERNS)
 BASE = KINDS[:4]
-#: Words near a span (within WINDOW code points before it) that raise its score.
+#: Words near a span (within WINDOW code points before or after it, whatever other spans lie there) that raise its score.
 CONTEXT = {
     "email": "mail|contact|kontakt|correo|courriel",
     "ip": "ip|address|host|server|adresse",
@@ -88,26 +88,37 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _ahead(between: Column, matches: Column, i: Column) -> Column:
+    """The text after match i, WINDOW code points of it at least: the next pieces, where a gap and a match are two at least."""
+    piece = lambda gap, m: F.concat(F.left(gap, F.lit(WINDOW)), F.coalesce(F.left(m, F.lit(WINDOW)), F.lit("")))
+    some = F.lit(WINDOW // 2)
+    return F.array_join(F.zip_with(F.slice(between, i + 2, some), F.slice(matches, i + 2, some), piece), "")
+
+
 def kind_spans(kind: str, text: Column) -> Column:
     """array<struct<start, end, score>> of a kind's confirmed spans in text."""
     pattern = PATTERNS[kind]
     between = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    word = rf"(?<![a-z])(?:{CONTEXT[kind]})"
 
     def add(acc: Column, i: Column) -> Column:
         gap = F.length(F.get(between, i))
         m = F.get(matches, i)
         start = acc["at"] + gap
         end = start + F.length(m)
-        before = F.lower(F.right(F.get(between, i), F.lit(WINDOW)))
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(before.rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0))
+        before = F.right(F.concat(acc["tail"], F.right(F.get(between, i), F.lit(WINDOW))), F.lit(WINDOW))
+        after = F.left(_ahead(between, matches, i), F.lit(WINDOW))
+        near = F.lower(before).rlike(word) | F.lower(after).rlike(word)
+        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BONUS).otherwise(0.0))
         one = F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
         good = confirmed(kind, m)
         if kind not in BASE:
             good = good & (score >= LEAST)
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+        tail = F.right(F.concat(before, F.right(m, F.lit(WINDOW))), F.lit(WINDOW))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(good, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("found"))
     some = F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, add, lambda acc: acc["found"]))
     possible = text.contains(NEEDED[kind]) if kind in NEEDED else F.lit(True)
     return F.coalesce(F.when(possible, some), F.array().cast(_SPAN))

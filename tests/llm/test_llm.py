@@ -239,3 +239,15 @@ def test_pii(spark):
             if len(texts[r.doc_id] or "") < 10000:
                 assert [(s.start, s.end) for s in r[kind]] == [m.span() for m in re.finditer(p, texts[r.doc_id] or "") if good(kind, m.group())]
     assert [(s.start, s.end) for s in got[5].email] == [(0, 50004)] and len(got[6].iban) == 1
+
+
+def found(spark, kind, texts):
+    """The spans of a kind as pieces of each text."""
+    rows = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), kinds=(kind,)).collect()
+    return [[texts[r.doc_id][s.start : s.end] for s in r[kind]] for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_ssn_context(spark):
+    a, b, c = "123-45-6789", "987-65-4321", "111-22-3333"
+    texts = [f"SSNs: {a}, {b}", f"{a} (SSN)", f"😀 {a}, {b}, {c}: social", f"{a} and {b}", f"ssn {'x' * 40} {a} {'x' * 40} ssn", f"{a}{' ' * 37}ssn", f"{a}{' ' * 38}ssn"]
+    assert found(spark, "ssn", texts) == [[a, b], [a], [a, b, c], [], [], [a], []]
