@@ -25,13 +25,19 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",  # its head; mod 97 chooses the end
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without this can't hold the kind.
 NEEDED = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 KINDS = tuple(PATTERNS)
 BASE = KINDS[:4]
+#: Length of an IBAN by country. Where the country isn't listed, each end that passes mod 97 will do, the last one first.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 #: Words near a span (within WINDOW code points before or after it, whatever other spans lie there) that raise its score.
 CONTEXT = {
     "email": "mail|contact|kontakt|correo|courriel",
@@ -83,15 +89,28 @@ def confirmed(kind: str, m: Column) -> Column:
         return F.when(F.length(m) < 14, False).otherwise(F.when(F.length(_digits(m)).between(14, 19), luhn(_digits(m))).otherwise(False))
     if kind == "phone":
         return F.length(_digits(m)).between(10, 15)
-    if kind == "iban":
-        return F.when(F.length(F.regexp_replace(m, " ", "")).between(15, 34), mod97(m)).otherwise(False)
     return F.lit(True)
 
 
+def iban_tail(head: Column, rest: Column) -> Column:
+    """What follows head in rest, the text after it, as far as the IBAN goes; null where there is none. Groups of four
+    may have a space before them; every end that is no part of a longer word is tried, 34 characters at most."""
+    def upto(n: int) -> Column:
+        last = rf"(?:\x20?[A-Z0-9]{{{n % 4}}})" if n % 4 else ""
+        return F.regexp_extract(rest, rf"\A(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{last}(?![A-Za-z0-9])", 0)
+
+    country, says = F.left(head, F.lit(2)), F.lit(None).cast("int")
+    for n, names in IBAN_LENGTHS.items():
+        says = F.when(country.isin(*names.split()), n).otherwise(says)
+    ends = [F.when(F.coalesce(says, F.lit(n)) == n, upto(n)).otherwise("") for n in range(34, 14, -1)]
+    return F.get(F.filter(F.array(*ends), lambda t: (t != "") & mod97(F.concat(head, t))), F.lit(0))
+
+
 def _ahead(between: Column, matches: Column, i: Column) -> Column:
-    """The text after match i, WINDOW code points of it at least: the next pieces, where a gap and a match are two at least."""
-    piece = lambda gap, m: F.concat(F.left(gap, F.lit(WINDOW)), F.coalesce(F.left(m, F.lit(WINDOW)), F.lit("")))
-    some = F.lit(WINDOW // 2)
+    """The text after match i, 2 * WINDOW code points of it at least: the next pieces, where a gap and a match are two at least."""
+    most = F.lit(2 * WINDOW)
+    piece = lambda gap, m: F.concat(F.left(gap, most), F.coalesce(F.left(m, most), F.lit("")))
+    some = F.lit(WINDOW)
     return F.array_join(F.zip_with(F.slice(between, i + 2, some), F.slice(matches, i + 2, some), piece), "")
 
 
@@ -108,17 +127,30 @@ def kind_spans(kind: str, text: Column) -> Column:
         start = acc["at"] + gap
         end = start + F.length(m)
         before = F.right(F.concat(acc["tail"], F.right(F.get(between, i), F.lit(WINDOW))), F.lit(WINDOW))
-        after = F.left(_ahead(between, matches, i), F.lit(WINDOW))
-        near = F.lower(before).rlike(word) | F.lower(after).rlike(word)
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BONUS).otherwise(0.0))
-        one = F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
-        good = confirmed(kind, m)
-        if kind not in BASE:
-            good = good & (score >= LEAST)
         tail = F.right(F.concat(before, F.right(m, F.lit(WINDOW))), F.lit(WINDOW))
-        return F.struct(end.alias("at"), tail.alias("tail"), F.when(good, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("found"))
+        def span(end: Column, after: Column) -> Column:
+            near = F.lower(before).rlike(word) | F.lower(F.left(after, F.lit(WINDOW))).rlike(word)
+            score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BONUS).otherwise(0.0))
+            return F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
+
+        if kind == "iban":
+
+            def from_head(rest: Column) -> Column:
+                whole = F.transform(F.array(iban_tail(m, rest)), lambda t: F.when(t.isNotNull(), span(end + F.length(t), F.substr(rest, F.length(t) + 1))))
+                return F.get(whole, F.lit(0))
+
+            # a group inside an IBAN may look like a head
+            free = start >= acc["until"]
+            one = F.when(free, F.get(F.transform(F.array(_ahead(between, matches, i)), from_head), F.lit(0)))
+        else:
+            one = F.when(confirmed(kind, m), span(end, _ahead(between, matches, i)))
+        ones = F.filter(F.array(one), lambda s: s.isNotNull() & (F.lit(kind in BASE) | (s["score"] >= LEAST)))
+        until = F.greatest(acc["until"], F.coalesce(one["end"], F.lit(0))) if kind == "iban" else acc["until"]
+        found = F.when(F.size(ones) > 0, F.concat(acc["found"], ones)).otherwise(acc["found"])
+        return F.struct(end.alias("at"), tail.alias("tail"), until.alias("until"), found.alias("found"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(0).alias("until"), F.array().cast(_SPAN).alias("found"))
     some = F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, add, lambda acc: acc["found"]))
     possible = text.contains(NEEDED[kind]) if kind in NEEDED else F.lit(True)
     return F.coalesce(F.when(possible, some), F.array().cast(_SPAN))

@@ -251,3 +251,14 @@ def test_ssn_context(spark):
     a, b, c = "123-45-6789", "987-65-4321", "111-22-3333"
     texts = [f"SSNs: {a}, {b}", f"{a} (SSN)", f"😀 {a}, {b}, {c}: social", f"{a} and {b}", f"ssn {'x' * 40} {a} {'x' * 40} ssn", f"{a}{' ' * 37}ssn", f"{a}{' ' * 38}ssn"]
     assert found(spark, "ssn", texts) == [[a, b], [a], [a, b, c], [], [], [a], []]
+
+
+def test_iban_ends(spark):
+    es, be, spaced, at, gb = "ES9121000418450200051332", "BE68539007547034", "BE68 5390 0754 7034", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{es} Banco", f"{spaced} From Anna", f"{be} IS", f"{be} 2024", f"{at} A", f"{be} {spaced} {gb}, {es}", f"{be}x", f"{be[:-1]}5", f"😀 {gb} {at}", "BE68", None]
+    # not listed, so mod 97 alone says where it ends
+    digits = "999999999999"
+    other = f"ZZ{98 - int(digits + '353500') % 97:02d}{digits}"
+    texts += [f"{other} 1", f"{other} NEXT Word", other]
+    got = found(spark, "iban", [t or "" for t in texts])
+    assert got == [[es], [spaced], [be], [be], [at], [be, spaced, gb, es], [], [], [gb, at], [], [], [other], [other], [other]]
