@@ -8,8 +8,8 @@ cut over the room that is left. A unit opens no more sequences than its tokens n
 sequence's worth of padding is left per unit.
 
 Ids are those of the byte-level BPE vocabulary byte_bpe_50k; the encoder reads the same vocabulary as
-ranks, which tests hold against the tokenizers library. Strings of special tokens in a text are
-ordinary text.
+ranks and its added token, which tests hold against the tokenizers library as it is by default: the
+string of the added token in a text is that one token.
 
 Cases: null and empty texts are the single id 0; rows that repeat an id are packed as separate
 documents; a null id is kept; an empty table gives an empty result; very long texts are encoded in
@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import table
 
 CAPACITY = 1024
+#: Added tokens of the vocabulary, which the ranks don't hold.
+ADDED = {"<|endoftext|>": 50256}
 #: Documents whose rests are packed together.
 UNIT = 2048
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
@@ -52,7 +54,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+    return partial(encoding.encode, allowed_special="all")
 
 
 def pack_unit(rests: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:

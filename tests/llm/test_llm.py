@@ -262,3 +262,14 @@ def test_iban_ends(spark):
     texts += [f"{other} 1", f"{other} NEXT Word", other]
     got = found(spark, "iban", [t or "" for t in texts])
     assert got == [[es], [spaced], [be], [be], [at], [be, spaced, gb, es], [], [], [gb, at], [], [], [other], [other], [other]]
+
+
+def test_packing_added_token(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "<|endoftext|>", "a <|endoftext|> <|endoftext|><|endoftext|>\n b", "<|endoftext", "é <|EndOfText|>", "plain"]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert got[0] == [505, 50256, 11545, 0]
