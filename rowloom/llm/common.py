@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and the codes 9 to 13.
@@ -35,6 +35,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scan_files(docs: DataFrame) -> DataFrame:
+    """(file, nth) of every file that docs, a scan of a table, reads: stored, for numbered()."""
+    files = docs.select(docs.metadataColumn("_metadata")["file_path"].alias("file")).distinct()
+    return written(files.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("nth")))
+
+
+def numbered(docs: DataFrame, files: DataFrame | None, *columns: Column | str) -> DataFrame:
+    """columns of docs and uid, a row's place: its file's number in files and its row in the file, the same in every
+    scan however files are split. Without files, uid holds for one scan only."""
+    if files is None:
+        return docs.select(*columns, F.monotonically_increasing_id().alias("uid"))
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select(F.struct(*columns).alias("own"), meta["file_path"].alias("of_file"), meta["row_index"].alias("at"))
+    rows = rows.join(F.broadcast(files), F.col("of_file") == F.col("file"))
+    return rows.select("own.*", (F.shiftleft("nth", 40) + F.col("at")).alias("uid"))
+
+
 def quoted(name: str) -> str:
     """A column's name as a reference, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import WS_CLASS, record, scratch, table, unpacked
+from rowloom.llm.common import WS_CLASS, numbered, record, scan_files, scratch, table, unpacked
 
 #: Rows of one digest are verified in so many parts.
 SALTS = 16
@@ -27,11 +27,11 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WS_CLASS}]+", "")
 
 
-def flush_runs(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
+def flush_runs(docs: DataFrame, digest_bits: int = 256, files: DataFrame | None = None) -> DataFrame:
     """The runs: uid, doc_id, chars, text_sha256, digest; each part file is sorted by digest."""
     sha = F.sha2(normal(F.col("text")).cast("binary"), 256)
-    runs = docs.select(
-        F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), sha.alias("text_sha256"),
+    runs = numbered(
+        docs, files, "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), sha.alias("text_sha256"),
     ).withColumn("digest", F.substring("text_sha256", 1, digest_bits // 4)).sortWithinPartitions("digest")
     path = scratch(docs.sparkSession)
     runs.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(1 << 18)).parquet(path)
@@ -62,9 +62,9 @@ def colliding(docs: DataFrame, runs: DataFrame, index: DataFrame, digest_bits: i
     return ends.filter("n <> n_same or low <> high").select("digest")
 
 
-def dedup_index(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
-    """Per row of docs: uid (its place in the scan), doc_id, keep_id, keep_uid, group_size, text_sha256."""
-    runs = flush_runs(docs, digest_bits)
+def dedup_index(docs: DataFrame, digest_bits: int = 256, files: DataFrame | None = None) -> DataFrame:
+    """Per row of docs: uid (its place in the scan; with files, see numbered(), in every scan), doc_id, keep_id, keep_uid, group_size, text_sha256."""
+    runs = flush_runs(docs, digest_bits, files)
     index_path = scratch(docs.sparkSession)
     compact(runs, ["digest"]).write.parquet(index_path)
     index = docs.sparkSession.read.parquet(index_path)
@@ -84,8 +84,9 @@ def dedup_index(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     names = docs.columns
-    dropped = dedup_index(docs).filter("uid <> keep_uid").select(F.col("uid").alias("__drop_uid"))
-    rows = docs.select(record(names), F.monotonically_increasing_id().alias("uid"))
+    files = scan_files(docs)
+    dropped = dedup_index(docs, files=files).filter("uid <> keep_uid").select(F.col("uid").alias("__drop_uid"))
+    rows = numbered(docs, files, record(names))
     rows = rows.join(dropped, F.col("uid") == F.col("__drop_uid"), "left_anti")
     return rows.select(*unpacked(names))
 

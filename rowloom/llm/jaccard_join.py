@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import mix, record, table, unpacked, word_hashes, written
+from rowloom.llm.common import mix, numbered, record, scan_files, table, unpacked, word_hashes, written
 
 _U = np.uint64
 SKETCH_BITS = 1024
@@ -320,11 +320,11 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.join(slots, "slot", "left_anti").unionByName(doubtful).drop("slot")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None, keep_uid: bool = False) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None, keep_uid: bool = False, files: DataFrame | None = None) -> DataFrame:
     """id, n_shingles, component_id of every row of docs (with uid, the row's number in the scan, and
-    first_uid, that of its component's row with the least id, on request)."""
+    first_uid, that of its component's row with the least id, on request; files as in numbered())."""
     plan = plan or Plan()
-    texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts = numbered(docs, files, F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).select("uid", "id", "text")
     rows = written(describe(texts, plan))
     by_set = rows.filter("n > 0").groupBy("n", "lo", "hi").agg(F.min("uid").alias("sid"), F.min("id").alias("min_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"))
     sets = written(by_set)
@@ -378,8 +378,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """The row of each component with the least id (null last, equal ids by place in the scan), with all columns of docs."""
     names = docs.columns
-    dropped = similar_components(docs, plan=plan, keep_uid=True).filter("uid <> first_uid").select(F.col("uid").alias("__drop_uid"))
-    rows = docs.select(record(names), F.monotonically_increasing_id().alias("uid"))
+    files = scan_files(docs)
+    dropped = similar_components(docs, plan=plan, keep_uid=True, files=files).filter("uid <> first_uid").select(F.col("uid").alias("__drop_uid"))
+    rows = numbered(docs, files, record(names))
     rows = rows.join(dropped, F.col("uid") == F.col("__drop_uid"), "left_anti")
     return rows.select(*unpacked(names))
 

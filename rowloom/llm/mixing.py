@@ -8,7 +8,7 @@ on the border gives a part of its words.
 Cases: a null or blank text has size 0 and takes nothing; a null id or source is a value like any
 other; rows that repeat an id are separate rows, equal keys go by id and size; an empty table gives
 an empty result. The mixed documents carry the input's columns inside one struct, so clashing names
-do no harm; they are found by a row's place in the scan, so docs must be a scan of a table.
+do no harm; they are found by a row's file and its place in it, so docs must be a scan of a table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import WORD, WS_CLASS, id_text, quoted, record, table, word_count, written
+from rowloom.llm.common import WORD, WS_CLASS, id_text, numbered, quoted, record, scan_files, table, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -58,13 +58,13 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return by.select("source", "n_rows", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
-    """Each document's uid (its place in the scan), doc_id, source, size, source_size, target and taken (words
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, rows_per_bin: int = ROWS_PER_BIN, files: DataFrame | None = None) -> DataFrame:
+    """Each document's uid (its place in the scan; with files, see numbered(), in every scan), doc_id, source, size, source_size, target and taken (words
     the mix takes). Texts are read once; what follows works on numbers. Prefix sums run in bins of key ranges,
     whose totals are summed before, so a source of any size spreads over many tasks."""
     size = word_count(F.col("text"))
-    sized = docs.select(
-        F.monotonically_increasing_id().alias("uid"), "doc_id", "source", size.alias("size"), quality(F.col("text"), size).alias("quality"),
+    sized = numbered(
+        docs, files, "doc_id", "source", size.alias("size"), quality(F.col("text"), size).alias("quality"),
         uniform(F.concat(F.lit(seed + "|"), id_text("doc_id"), F.lit("|"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("u"),
     )
     slim = written(sized)
@@ -91,11 +91,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole copy taken, and one with the
     first words, joined by single spaces, where a part is taken."""
     names = docs.columns
-    taken = mix_sources(docs).filter("taken > 0")
+    files = scan_files(docs)
+    taken = mix_sources(docs, files=files).filter("taken > 0")
     size = F.greatest("size", F.lit(1))  # a filter may run after this
     rest = F.col("taken") % size
     cuts = F.concat(F.array_repeat(F.col("size"), F.floor(F.col("taken") / size).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), record(names))
+    rows = numbered(docs, files, record(names))
     rows = rows.join(taken.select("uid", "size", cuts.alias("cuts")), "uid").select("row", "size", F.explode("cuts").alias("cut"))
     words = F.filter(F.split(F.col("row.text"), f"[{WS_CLASS}]+"), lambda w: w != "")
     text = F.when(F.col("cut") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(words, 1, F.col("cut").cast("int")), " "))

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from rowloom.llm import exact_dedup, jaccard_join, mixing
 from rowloom.llm.common import written
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -145,3 +146,25 @@ def test_contract_columns(spark, name):
     per_row = {"op2_neighbours": None, "op8_url_filter": "pages", "op10_packing": None}.get(name, "documents")
     if per_row:
         assert out.count() == spark.read.parquet(f"{SF_DIR}/{per_row}.parquet").count()
+
+
+@pytest.mark.parametrize("module, inner, outer", [(exact_dedup, "dedup_index", "deduplicated"), (mixing, "mix_sources", "mixed_documents"), (jaccard_join, "similar_components", "one_of_each")])
+def test_scans_split_otherwise(spark, tmp_path, monkeypatch, module, inner, outer):
+    """A stage's second scan may be split into other partitions than its first: the same rows stay."""
+    rows = [(i, " ".join(f"w{i % 50}x{j}" for j in range(8 + i % 50 % 7)), "en", "ab"[i % 2]) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(12, "doc_id").write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    want = Counter(map(tuple, getattr(module, outer)(docs).collect()))
+    real = getattr(module, inner)
+
+    def then_split(*a, **b):
+        out = real(*a, **b)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # with the cost of opening one: a file a partition
+        return out
+
+    monkeypatch.setattr(module, inner, then_split)
+    try:
+        got = Counter(map(tuple, getattr(module, outer)(spark.read.parquet(f"{tmp_path}/t")).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
