@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: whole copies, and one part document per source."""
+    """Sources at their target weights, as whole copies of documents."""
     return mixed_documents(docs)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.operators.filtering import not_of_type
+
 
 def nest(parents: DataFrame, children: DataFrame, key: str, child_key: str, order: Sequence[str]) -> DataFrame:
     """Parents with an array of their children, sorted; childless parents stay, orphans go."""
@@ -15,18 +17,31 @@ def nest(parents: DataFrame, children: DataFrame, key: str, child_key: str, orde
     return parents.join(grouped, F.col(key) == F.col(child_key), "left").drop(child_key)
 
 
-def nested_xml(nested: DataFrame, parent: Column, child_tag: str, tag: str) -> Column:
-    """One line per nested row: attributes of struct parent, children as elements."""
-    def element(name: str, s: Column) -> Column:
-        return F.regexp_replace(F.to_xml(s, {"rowTag": name}), r"\n\s*", "")
+def element(tag: str, attributes: Column, names: Sequence[str], content: Column | None = None) -> Column:
+    """One XML element on one line: the fields of a struct as attributes, null ones left out, line breaks in values dropped."""
+
+    def escaped(v: Column) -> Column:
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", ""), ("\r", "")):
+            v = F.replace(v, F.lit(char), F.lit(entity))
+        return v
+
+    parts = [F.coalesce(F.concat(F.lit(f' {n}="'), escaped(attributes[n].cast("string")), F.lit('"')), F.lit("")) for n in names]
+    opened = F.concat(F.lit(f"<{tag}"), *parts)
+    if content is None:
+        return F.concat(opened, F.lit("/>"))
+    return F.when(content == "", F.concat(opened, F.lit("/>"))).otherwise(F.concat(opened, F.lit(">"), content, F.lit(f"</{tag}>")))
 
-    kids = F.array_join(F.transform("children", lambda c: element(child_tag, c)), "")
-    return F.concat(F.regexp_replace(element(tag, parent), r"/>$|</\w+>$", ">"), F.coalesce(kids, F.lit("")), F.lit(f"</{tag}>"))
+
+def nested_xml(nested: DataFrame, parent: Sequence[str], child_tag: str, tag: str) -> Column:
+    """One line per nested row: the parent's columns and the children's fields as attributes."""
+    names = nested.schema["children"].dataType.elementType.names
+    kids = F.array_join(F.transform("children", lambda c: element(child_tag, c, names)), "")
+    return element(tag, F.struct(*parent), parent, F.coalesce(kids, F.lit("")))
 
 
 def questions_with_answers(posts: DataFrame, id_col: str, parent: str, kind: str) -> DataFrame:
-    """Rows of kind 1 with their answers, the rows of other kinds whose parent they are."""
-    answers = posts.filter(F.col(kind) != 1)
+    """Rows of kind 1 with their answers, the rows of any other kind, or none, whose parent they are."""
+    answers = not_of_type(posts, kind, 1)
     named = answers.select(F.col(parent).alias("__of"), *[c for c in posts.columns if c != parent])
     return nest(posts.filter(F.col(kind) == 1), named, id_col, "__of", [id_col])
 
@@ -35,6 +50,12 @@ def partition_number(year: Column, first: int) -> Column:
     return (year - first).cast("int")
 
 
+def write_partitions(df: DataFrame, path: str, year: Column, first: int, parts: int) -> None:
+    """A folder pid=0 to parts - 1 for each year from first on; years outside of them, which have no partition, go to pid=-1; rows without a year are dropped."""
+    pid = partition_number(year, first)
+    df.withColumn("pid", F.when(pid.between(0, parts - 1), pid).when(pid.isNotNull(), -1)).dropna(subset=["pid"]).write.mode("overwrite").partitionBy("pid").parquet(path)
+
+
 def bins(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """A row for every bin whose condition holds."""
     which = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]), lambda b: b.isNotNull())

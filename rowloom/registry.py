@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import rows as R
 from rowloom.operators import bloom, filtering, joins, organize, summarize
 from rowloom.plans import pipelines
-from rowloom.sources import generator, kv_store
+from rowloom.sources import generator, kv_store, text
 
 SIZES = ("SMALL", "MEDIUM", "LARGE", "GREEN", "BLUE", "STEEL", "BRASS")
 
@@ -21,7 +22,12 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    """A fresh path in the folder that driver and executors share; a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rowloom-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -64,7 +70,8 @@ def bucket(how, of):
     left, right, left_key, right_key, _ = of
 
     def run(s, d):
-        names = f"rowloom_{left.__name__}", f"rowloom_{right.__name__}"
+        app = re.sub(r"\W", "_", s.sparkContext.applicationId)  # sessions that share a warehouse don't meet
+        names = f"rowloom_{left.__name__}_{app}", f"rowloom_{right.__name__}_{app}"
         joins.bucketed(left(s, d), names[0], left_key)
         joins.bucketed(right(s, d), names[1], right_key)
         return joins.composite_join(s, *names, left_key, right_key, how)
@@ -119,7 +126,7 @@ def kv_roundtrip(s, d):
 def bloom_probe(s, d):
     """Members found by the filter and then held against the exact set."""
     hot = t(s, d, "customer").filter("c_acctbal >= 9000").select("c_custkey")
-    m, k = bloom.size_for(2000, 0.01)
+    m, k = bloom.size_for(max(1, hot.count()), 0.01)
     maybe = bloom.probe(t(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", bloom.train(hot, "c_custkey", m, k), m, k)
     return filtering.members(maybe, "o_custkey", hot, "c_custkey", F.lit(True)).select("o_orderkey", "o_custkey")
 
@@ -146,7 +153,102 @@ def generate(s, d):
 
 def token_sets(s, d):
     out = t(s, d, "documents").select("doc_id", F.concat_ws(",", R.token_set(F.col("text"), F.array(F.lit("the"), F.lit("of")))).alias("tokens"))
-    return out.filter("tokens <> ''")
+    # exploded, not filtered: a filter would make the tokens a second time
+    return out.select("doc_id", F.explode(F.filter(F.array("tokens"), lambda x: x != "")).alias("tokens"))
+
+
+def token_sets_side_file(s, d):
+    """The same with the stop words of a file."""
+    path = scratch(s)
+    s.createDataFrame([("the ",), ("of",), ("",), ("of",)], "value string").write.text(path)
+    stop = F.array(*[F.lit(w) for w in text.word_list(s, path)])
+    out = t(s, d, "documents").select("doc_id", F.concat_ws(",", R.token_set(F.col("text"), stop)).alias("tokens"))
+    return out.select("doc_id", F.explode(F.filter(F.array("tokens"), lambda x: x != "")).alias("tokens"))
+
+
+def event_rows(s, d):
+    """Events as attribute rows."""
+    e = t(s, d, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    kv = [F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("v")) for k, c in (("Id", "event_id"), ("UserId", "user_id"), ("Kind", "event_type"), ("CreationDate", "at"))]
+    return e.select(R.to_row(F.array(*kv)).alias("value"))
+
+
+def typed_turns(s, d):
+    """Conversations as posts: the first turn a question, the second of no type, the others answers."""
+    kind = F.when(F.col("turn") == 0, 1).when(F.col("turn") > 1, 2)
+    return t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") * 1000).alias("parent"), kind.alias("kind"), "role")
+
+
+def post_comment_xml(s, d):
+    n = organize.nest(t(s, d, "orders").select("o_orderkey", "o_orderstatus"), t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "o_orderkey", "l_orderkey", ["l_linenumber"])
+    return n.select(organize.nested_xml(n, ["o_orderkey", "o_orderstatus"], "comments", "post").alias("xml"))
+
+
+def question_answer_xml(s, d):
+    n = organize.questions_with_answers(typed_turns(s, d), "id", "parent", "kind")
+    return n.select(organize.nested_xml(n, ["id", "role"], "answer", "question").alias("xml"))
+
+
+def year_partitions(s, d):
+    path = scratch(s)
+    organize.write_partitions(t(s, d, "orders").select("o_orderkey", "o_orderdate"), path, F.year("o_orderdate"), 1995, 3)
+    return s.read.parquet(path).select("pid", "o_orderkey")
+
+
+def bloom_file(s, d):
+    """A filter trained on a folder of lines, saved, loaded and probed; what it lets through is held against the exact set."""
+    path, hot = scratch(s), t(s, d, "customer").filter("c_acctbal >= 9000").select("c_custkey")
+    hot.select(F.col("c_custkey").cast("string").alias("value")).write.option("compression", "gzip").text(f"{path}/members")
+    m, k = bloom.size_for(max(1, hot.count()), 0.01)
+    bloom.save(bloom.train_on_folder(s, f"{path}/members", m, k), f"{path}/filter", m, k)
+    rows = t(s, d, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").cast("string").alias("key"))
+    maybe = bloom.probe(rows, "key", *bloom.load(s, f"{path}/filter"))
+    return filtering.members(maybe, "o_custkey", hot, "c_custkey", F.lit(True)).select("o_orderkey", "o_custkey")
+
+
+def cartesian_golden(s, d):
+    """The lines of two files a side, each with each."""
+    side = lambda x, name: s.createDataFrame([(f"{x}{i}{j}",) for i in (1, 2) for j in (1, 2, 3, 4)], f"{name} string")
+    return joins.theta_pairs(side("A", "left_line"), side("B", "right_line"), F.lit(True), 2, 2)
+
+
+def theta_join(s, d):
+    return joins.theta_pairs(t(s, d, "supplier").select("s_suppkey", "s_acctbal"), t(s, d, "nation").select("n_nationkey"), F.col("s_acctbal") < F.col("n_nationkey") * 100)
+
+
+def state_counters(s, d):
+    found = pipelines.state_counters(t(s, d, "part"), "p_name", SIZES)
+    return s.createDataFrame(sorted(found.items()), "counter string, n long")
+
+
+def chain_counters(s, d):
+    found = pipelines.counted_bins(t(s, d, "orders").select("o_custkey"), t(s, d, "customer"), "o_custkey", "c_custkey", "c_acctbal", scratch(s))
+    return s.createDataFrame([(found["records"], found["users"])], "records long, users long")
+
+
+def named_outputs(s, d):
+    path = scratch(s)
+    text.write_named(chain(s, d).select("user", "posts", "bin"), path, "bin", "user", "posts")
+    return s.read.text(path).select(F.col("value").alias("line"), "bin")
+
+
+def kv_last_write(s, d):
+    path = scratch(s)
+    kv_store.write_hash(t(s, d, "events"), path, "user_id", "event_type", "last", 6, "event_id")
+    return kv_store.read_hash(s, path, "last")
+
+
+def sample_invariants(s, d):
+    """Of a sample: rows that aren't in the table, and whether its size is near what was asked for."""
+    e = t(s, d, "events")
+    got, every = filtering.sample(e, 10, 3), e.count()
+    foreign = got.join(e, "event_id", "left_anti").count()
+    return s.createDataFrame([(foreign, abs(got.count() - every / 10) <= 5 * (every * 0.09) ** 0.5)], "foreign long, near boolean")
+
+
+def generate_invariants(s, d):
+    rows = generate(s, d).select(F.col("Id").cast("long").between(0, 10**9 - 1) & F.col("UserId").cast("long").between(0, 10**6 - 1) & F.col("Score").cast("long").between(0, 14_999) & F.col("Text").rlike(r"\A(?:(?:alpha|beta|gamma) ){1,30}\z") & R.timestamp(F.col("CreationDate")).isNotNull())
+    return rows.toDF("good").agg(F.count("*").alias("n"), F.count(F.when(F.col("good"), 1)).alias("good"))
 
 
 QUERIES = {
@@ -178,6 +280,13 @@ QUERIES = {
     "total_order": lambda s, d: organize.total_order(t(s, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber"), 10, "l_shipdate", "l_orderkey", "l_linenumber"),
     "shuffle": lambda s, d: organize.shuffled(t(s, d, "customer").select("c_custkey", "c_name"), 5),
     "merged_anon_distinct": merged,
+    "word_count_unescaped": lambda s, d: summarize.word_count(t(s, d, "pages"), "html", escaped=True),
+    "inverted_index_unescaped": lambda s, d: summarize.inverted_index(t(s, d, "pages"), F.regexp_extract(R.unescape_html4("html"), 'href="([^"#]*)', 1), "page_id"),
+    "post_comment_xml": post_comment_xml, "question_answer_xml": question_answer_xml, "year_partitions": year_partitions, "bloom_file": bloom_file,
+    "post_type_kept": lambda s, d: filtering.not_of_type(typed_turns(s, d), "kind", 1).select("id", "kind"),
+    "cartesian_golden": cartesian_golden, "theta_join": theta_join, "state_counters": state_counters, "chain_counters": chain_counters, "named_outputs": named_outputs,
+    "rekey": lambda s, d: R.keyed(event_rows(s, d), "UserId"), "anonymize_rows": lambda s, d: event_rows(s, d).select(R.anonymized_row(F.col("value")).alias("line")),
+    "token_sets_side_file": token_sets_side_file, "kv_last_write": kv_last_write, "sample_invariants": sample_invariants, "generate_invariants": generate_invariants,
 }
 
 _MATCHED = "SELECT c_custkey, c_acctbal, o_orderkey, o_custkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey"
@@ -195,6 +304,10 @@ def _reduced(how: str, more: str = "") -> str:
 
 _CHAIN = "WITH n AS (SELECT o_custkey AS \"user\", count(*) AS posts FROM orders GROUP BY 1) SELECT \"user\", posts, c_acctbal AS reputation, CASE WHEN posts < (SELECT sum(posts) / count(*) FROM n) THEN 'belowavg' ELSE 'aboveavg' END AS bin FROM n LEFT JOIN customer ON c_custkey = \"user\""
 
+_TYPED = "SELECT conv_id * 1000 + turn AS id, conv_id * 1000 AS parent, (CASE WHEN turn = 0 THEN 1 WHEN turn > 1 THEN 2 END)::INT AS kind, role FROM conversations"
+_BUCKETS = f"SELECT CASE WHEN coalesce(p_name, '') = '' THEN 'NullOrEmpty' ELSE coalesce(list_filter(string_split_regex(upper(p_name), '\\s'), lambda x: list_contains({list(SIZES)}, x))[1], 'Unknown') END AS bucket FROM part"
+_ROW = "'<row Id=\"' || event_id || '\" UserId=\"' || user_id || '\" Kind=\"' || event_type || '\" CreationDate=\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '\" />'"
+
 ORACLE_SQL = {
     "word_count": "SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(regexp_replace(replace(lower(\"text\"), '''', ''), '[^a-z]', ' ', 'g'), '[ \\t\\n\\r\\f]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1",
     "minmax_count": "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM events GROUP BY 1",
@@ -229,5 +342,22 @@ ORACLE_SQL = {
     "year_partition_counts": "SELECT (year(o_orderdate) - 1995)::INT AS pid, count(*) AS n FROM orders GROUP BY 1",
     "total_order": "SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem",
     "shuffle": "SELECT c_custkey, c_name FROM customer",
+    "word_count_unescaped": "SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(regexp_replace(replace(lower(regexp_replace(html, '&(amp|middot|copy|quot);', ' ', 'g')), '''', ''), '[^a-z]', ' ', 'g'), ' +')) AS w FROM pages) WHERE w <> '' GROUP BY 1",
+    "inverted_index_unescaped": "SELECT term, string_agg(page_id::VARCHAR, ' ' ORDER BY page_id) AS ids FROM (SELECT page_id, regexp_extract(replace(replace(html, '&quot;', '\"'), '&amp;', '&'), 'href=\"([^\"#]*)', 1) AS term FROM pages) WHERE term <> '' GROUP BY 1",
+    "post_comment_xml": "SELECT '<post o_orderkey=\"' || o_orderkey || '\" o_orderstatus=\"' || o_orderstatus || '\"' || coalesce('>' || string_agg('<comments l_linenumber=\"' || l_linenumber || '\" l_returnflag=\"' || l_returnflag || '\"/>', '' ORDER BY l_linenumber, l_returnflag) || '</post>', '/>') AS xml FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus",
+    "question_answer_xml": f"WITH c AS ({_TYPED}) SELECT '<question id=\"' || q.id || '\" role=\"' || q.role || '\"' || coalesce('>' || string_agg('<answer id=\"' || a.id || '\"' || coalesce(' kind=\"' || a.kind || '\"', '') || ' role=\"' || a.role || '\"/>', '' ORDER BY a.id) || '</question>', '/>') AS xml FROM c q LEFT JOIN (SELECT * FROM c WHERE kind IS DISTINCT FROM 1) a ON a.parent = q.id WHERE q.kind = 1 GROUP BY q.id, q.role",
+    "year_partitions": "SELECT (CASE WHEN year(o_orderdate) BETWEEN 1995 AND 1997 THEN year(o_orderdate) - 1995 ELSE -1 END)::INT AS pid, o_orderkey FROM orders",
+    "bloom_file": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 9000)",
+    "post_type_kept": f"SELECT id, kind FROM ({_TYPED}) WHERE kind IS DISTINCT FROM 1",
+    "cartesian_golden": "SELECT a.x AS left_line, b.x AS right_line FROM (SELECT 'A' || i || j AS x FROM range(1, 3) r(i), range(1, 5) q(j)) a, (SELECT 'B' || i || j AS x FROM range(1, 3) r(i), range(1, 5) q(j)) b",
+    "theta_join": "SELECT s_suppkey, s_acctbal, n_nationkey FROM supplier JOIN nation ON s_acctbal < n_nationkey * 100",
+    "state_counters": f"WITH b AS ({_BUCKETS}) SELECT c.counter, count(b.bucket) AS n FROM (SELECT unnest({[*SIZES, 'NullOrEmpty', 'Unknown']}) AS counter) c LEFT JOIN b ON b.bucket = c.counter GROUP BY 1",
+    "chain_counters": "SELECT count(o_custkey) AS records, count(DISTINCT o_custkey) AS users FROM orders",
+    "named_outputs": f"SELECT \"user\" || chr(9) || posts AS line, bin FROM ({_CHAIN})",
+    "rekey": f"SELECT user_id::VARCHAR AS key, {_ROW} AS \"row\" FROM events",
+    "anonymize_rows": "SELECT '<row Kind=\"' || event_type || '\" CreationDate=\"' || strftime(ts, '%Y-%m-%d') || '\" >' AS line FROM events",
+    "kv_last_write": "SELECT user_id::VARCHAR AS field, arg_max(event_type, event_id) AS value FROM events GROUP BY 1",
+    "sample_invariants": "SELECT 0::BIGINT AS \"foreign\", true AS near", "generate_invariants": "SELECT 1000::BIGINT AS n, 1000::BIGINT AS good",
     "merged_anon_distinct": "SELECT 'A' AS tag, event_type || ' ' || strftime(ts, '%Y-%m-%d') AS \"text\" FROM events UNION ALL SELECT 'D', user_id::VARCHAR FROM (SELECT DISTINCT user_id FROM events)",
 }
+ORACLE_SQL["token_sets_side_file"] = ORACLE_SQL["token_sets"]

@@ -14,9 +14,8 @@ MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT",
 
 
 def write_hash(df: DataFrame, path: str, field: str, value: str, name: str, hosts: int, order: str | None = None) -> None:
-    """Fields by hash over the hosts."""
-    last = F.max_by(value, order) if order else F.max(value)
-    rows = df.dropna(subset=[field]).groupBy(F.col(field).cast("string").alias("field")).agg(last.cast("string").alias("value"))
+    """Fields by hash over the hosts. The last value of a field is the one with the greatest order, or without an order the last of the scan."""
+    rows = _last(df.dropna(subset=[field]).select(F.col(field).cast("string").alias("field"), F.col(value).cast("string").alias("value"), _order(order)), "field")
     rows.withColumn("host", F.pmod(F.xxhash64("field"), F.lit(hosts)).cast("int")).withColumn("hash", F.lit(name)).write.mode("overwrite").partitionBy("host", "hash").parquet(path)
 
 
@@ -24,11 +23,19 @@ def read_hash(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("hash") == name).select("field", "value")
 
 
-def write_months(df: DataFrame, path: str, field: str, value: str, time: Column) -> None:
-    """One hash per month, two months per host."""
+def _order(order: str | None) -> Column:
+    return (F.col(order) if order else F.monotonically_increasing_id()).alias("__at")
+
+
+def _last(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by("value", "__at").alias("value"))
+
+
+def write_months(df: DataFrame, path: str, field: str, value: str, time: Column, order: str | None = None) -> None:
+    """One hash per month, two months per host; the last value of a field as in write_hash()."""
     month0 = F.month(time) - 1
-    rows = df.select(F.col(field).cast("string").alias("field"), F.col(value).cast("string").alias("value"), month0.alias("month0")).dropna(subset=["field", "month0"])
-    rows = rows.groupBy("month0", "field").agg(F.max("value").alias("value"))
+    rows = df.select(F.col(field).cast("string").alias("field"), F.col(value).cast("string").alias("value"), month0.alias("month0"), _order(order)).dropna(subset=["field", "month0"])
+    rows = _last(rows, "month0", "field")
     rows.withColumn("host", F.floor(F.col("month0") / 2).cast("int")).write.mode("overwrite").partitionBy("host", "month0").parquet(path)
 
 

@@ -22,6 +22,30 @@ def write_key_tab_value(df: DataFrame, path: str, *columns: str | Column) -> Non
     df.select(F.concat_ws("\t", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns]).alias("value")).write.mode("overwrite").text(path)
 
 
+#: Words of a list up to which it becomes a part of the plan.
+MOST_WORDS = 10_000
+
+
+def word_list(spark: SparkSession, path: str, most: int = MOST_WORDS) -> list[str]:
+    """The distinct words of a side file or folder, one a line, plain or gzip, without blanks around them; a longer list than most is an error."""
+    found = lines(spark, path).select(F.trim("value").alias("word")).filter("word <> ''").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{path} has more than {most} words")
+    return sorted(r.word for r in found)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder wherever it is; says whether there was one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def write_named(df: DataFrame, path: str, name: str, *columns: str) -> None:
+    """Named outputs: a folder of text files for each value of a column, lines of the tab-joined columns."""
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value")
+    df.select(line, name).write.mode("overwrite").partitionBy(name).text(path)
+
+
 def write_bins(df: DataFrame, path: str, *by: str) -> None:
     """A folder for each value of the bin columns."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
