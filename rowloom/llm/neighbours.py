@@ -5,14 +5,18 @@ different projections and shifts. Every ordering is range-partitioned into CELLS
 a query looks at the window of WINDOW neighbouring ranges around its own key. Windows of all orderings
 are merged and reranked by exact cosines.
 
+Many orderings with small windows find more than few with large ones: by default a query is compared ORDERINGS * WINDOW / CELLS = 0.98
+times with a row, less than an exact search. Ranges hold LEAST_CELL rows at least, so small tables are searched in full.
+
 Identical vectors are searched once: of each, the k + 1 smallest ids stand for all others, which can't
 be among k nearest. Window sizes are shares of the table, so recall doesn't fall as it grows;
-blocks of rows and of queries keep every task's memory bounded.
+blocks of rows and of queries keep every task's memory bounded. In a block, all rows that rounding can't tell from a query's
+k-th are ranked by their exact cosines, so ties go by id however many there are.
 
-Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
-take no part, as queries or candidates; fewer candidates than k give fewer rows; ties go to the smaller
-id; rows that repeat an id keep one vector, the least; a null id takes no part; an empty table gives an
-empty result. Only id and vector are read, so clashing names do no harm.
+Cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or candidates; vectors are
+searched among those of their own length; fewer candidates than k give fewer rows; ties go to the smaller
+id; rows that repeat an id are separate rows, each a candidate for the others, and each with its own ranks as a query; a null
+id takes no part; an empty table gives an empty result. Only id and vector are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -24,12 +28,15 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import table, written
 
-ORDERINGS = 4
-DIMENSIONS = 6
-BITS = 10
-CELLS = 32
-WINDOW = 17
+ORDERINGS = 21
+DIMENSIONS = 10
+BITS = 6
+CELLS = 64
+WINDOW = 3
+LEAST_CELL = 64
 K = 5
+#: More than rounding can part two equal cosines by in a product of unit vectors.
+CLOSE = 1e-10
 #: Rows of a block, of candidates or of queries.
 BLOCK = 4096
 
@@ -63,15 +70,20 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def curve_keys(vectors: np.ndarray, orderings: int, dimensions: int, bits: int, seed: int) -> np.ndarray:
-    """rows x orderings Hilbert keys of vectors by random projections and shifts."""
+    """rows x orderings Hilbert keys of vectors by random projections and shifts. Projections come in sets that are
+    orthogonal to each other, as many as the vectors have room for."""
     rng = np.random.default_rng(seed)
     unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     dim = vectors.shape[1]
+    wide = min(dimensions, dim)
     out = np.empty((len(vectors), orderings), np.int64)
+    turn = np.empty((dim, 0))
     for j in range(orderings):
-        p, _ = np.linalg.qr(rng.standard_normal((dim, min(dimensions, dim))))
-        at = unit @ p * np.sqrt(dim) / 4 + rng.uniform(0, 1, p.shape[1])  # most of [-1, 2]
+        if turn.shape[1] < wide:
+            turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
+        p, turn = turn[:, :wide], turn[:, wide:]
+        at = unit @ p * np.sqrt(dim) / 3 + rng.uniform(0, 1, wide)  # most of [-1, 2]
         out[:, j] = hilbert(np.clip((at + 1) / 3 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
     return out
 
@@ -82,76 +94,88 @@ def usable(vector: Column) -> Column:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision, the same for equal pairs wherever they are met."""
+    """Row by row, rounded once to double precision: equal for vectors of one direction."""
+    a, b = (np.asarray(x, np.longdouble) for x in (a, b))
     a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-
-
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, orderings: int = ORDERINGS, dimensions: int = DIMENSIONS, bits: int = BITS, cells: int = CELLS, window: int = WINDOW, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    return ((a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))).astype(float)
+
+
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float)
+
+
+def rerank(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query, query_id, uid, vec_id and score of the k nearest rows of x to each of q, but itself: by the product of unit
+    vectors first, then, for all that rounding can't tell from the k-th, exactly."""
+    out = [pd.DataFrame({c: np.empty(0, np.int64) for c in ("query", "query_id", "uid", "vec_id")} | {"score": np.empty(0)})]
+    if len(q) and len(x):
+        quid, xuid, qid, xid = q["uid"].to_numpy(), x["uid"].to_numpy(), q["id"].to_numpy(), x["id"].to_numpy()
+        qv, xv = stacked(q["v"]), stacked(x["v"])
+        unit = lambda v: (lambda w: w / np.linalg.norm(w, axis=1, keepdims=True))(v / np.abs(v).max(axis=1, keepdims=True))
+        ahead, behind = unit(qv), unit(xv).T
+        kth = max(0, len(xuid) - k - 1)  # one more than k, as the query itself may be among them
+        for s in range(0, len(quid), 256):
+            near = ahead[s : s + 256] @ behind
+            least = np.partition(near, kth, axis=1)[:, kth]
+            a, b = np.nonzero(near >= least[:, None] - CLOSE)
+            other = quid[s + a] != xuid[b]
+            a, b = s + a[other], b[other]
+            got = pd.DataFrame({"query": quid[a], "query_id": qid[a], "uid": xuid[b], "vec_id": xid[b], "score": cosines(qv[a], xv[b])})
+            got = got.sort_values(["query", "score", "vec_id", "uid"], ascending=[True, False, True, True])
+            out.append(got.groupby("query").head(k))
+    return pd.concat(out, ignore_index=True)
+
+
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, orderings: int = ORDERINGS, dimensions: int = DIMENSIONS, bits: int = BITS, cells: int = CELLS, window: int = WINDOW, least_cell: int = LEAST_CELL, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """query_id, rank, id and score of the k nearest found for the rows where queries holds."""
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0][0] if sizes else 0
-    rows = rows.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query"))
+    rows = rows.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
 
     @F.pandas_udf("array<long>")
     def keys(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(curve_keys(np.stack(v.to_numpy()).astype(float), orderings, dimensions, bits, seed)))
-
-    rows = written(rows.withColumn("keys", keys("v")))
-    same = Window.partitionBy("v").orderBy("id")
-    apart = written(rows.select("id", "v", "keys", F.row_number().over(same).alias("nth")).filter(F.col("nth") <= k + 1).drop("nth"))
-    total, asked = apart.count(), rows.filter("is_query").count()
-    # cut points: orderings * (cells - 1) numbers
-    share = [i / cells for i in range(1, cells)]
-    cuts = [list(r) if r is not None else [] for r in apart.agg(*[F.percentile_approx(F.col("keys")[j], share, 10_000).alias(f"c{j}") for j in range(orderings)]).first()]
-    window = min(window, cells)
-
-    def cell(key: Column, j: int) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts[j]]).cast("array<bigint>"), lambda c: c < key))
-
-    def split(n: int, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block)))).cast("int")
-
-    cand_parts, query_parts = max(1, -(-total // (cells * block))), max(1, -(-asked * window // (cells * block)))
-    at = [F.struct(F.lit(j).alias("ordering"), cell(F.col("keys")[j], j).alias("cell")) for j in range(orderings)]
-    cand = apart.select("id", "v", F.explode(F.array(*at)).alias("at"), split(cand_parts * block, F.col("id")).alias("c"))
-    cand = cand.select("id", "v", "at.*", "c", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("d"))
-    asks = rows.filter("is_query").select("id", "v", F.explode(F.array(*at)).alias("at"), split(query_parts * block, F.col("id")).alias("d"))
-    first = F.greatest(F.lit(0), F.least(F.col("at.cell") - window // 2, F.lit(cells - window)))
-    asks = asks.select("id", "v", F.col("at.ordering").alias("ordering"), F.explode(F.sequence(first, first + window - 1)).alias("cell"), "d")
-    asks = asks.select("*", F.explode(F.sequence(F.lit(0), F.lit(cand_parts - 1))).alias("c"))
-
-    def rerank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        if not len(q) or not len(x):
-            return empty
-        qi, xi = q["id"].to_numpy(), x["id"].to_numpy()
-        qv, xv = np.stack(q["v"].to_numpy()), np.stack(x["v"].to_numpy())
-        scaled = xv / np.abs(xv).max(axis=1, keepdims=True)
-        scaled /= np.linalg.norm(scaled, axis=1, keepdims=True)
-        out = [empty]
-        most = min(4 * k, len(xi))  # spare rows: rounding in the product may swap equal ones
-        for s in range(0, len(qi), 256):
-            near = qv[s : s + 256] @ scaled.T
-            near[qi[s : s + 256, None] == xi[None, :]] = -np.inf
-            pick = np.argpartition(-near, most - 1, axis=1)[:, :most]
-            a = np.repeat(np.arange(len(near)), most)
-            b = pick.ravel()
-            good = near[a, b] > -np.inf
-            a, b = a[good], b[good]
-            got = pd.DataFrame({"query_id": qi[s + a], "vec_id": xi[b], "score": cosines(qv[s + a], xv[b])})
-            got = got.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(got.groupby("query_id").head(k))
-        return pd.concat(out, ignore_index=True)
-
-    on = ["ordering", "cell", "c", "d"]
-    found = asks.groupBy(*on).cogroup(cand.groupBy(*on)).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        out = pd.Series([None] * len(v), index=v.index, dtype=object)
+        for _, same in v.groupby(v.map(len)):
+            out[same.index] = pd.Series(list(curve_keys(stacked(same), orderings, dimensions, bits, seed)), index=same.index)
+        return out
+
+    rows = written(rows.withColumn("dim", F.size("v")).withColumn("keys", keys("v")))
+    same = Window.partitionBy("v").orderBy("id", "uid")
+    apart = written(rows.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).drop("nth"))
+    # of each length: how many rows and queries, and how many cells, blocks of rows and blocks of queries a cell has
+    asked = rows.groupBy("dim").agg(F.count(F.when(F.col("is_query"), 1)).alias("asked"))
+    plan = apart.groupBy("dim").agg(F.count("*").alias("total")).join(asked, "dim")
+    plan = plan.withColumn("cells", F.greatest(F.lit(1), F.least(F.lit(cells), F.floor(F.col("total") / least_cell))).cast("int"))
+    up = lambda x: F.greatest(F.lit(1), F.ceil(x)).cast("int")
+    plan = plan.withColumn("window", F.least(F.lit(window), F.col("cells")))
+    plan = written(plan.select(F.col("dim").alias("of"), "cells", "window", up(F.col("total") / F.col("cells") / block).alias("c_parts"), up(F.col("asked") * F.col("window") / F.col("cells") / block).alias("d_parts")))
+    # cut points: orderings * (cells - 1) numbers for each length of which there are rows for more than one cell
+    several = apart.join(plan.filter("cells > 1"), F.col("dim") == F.col("of")).select("dim", "cells", F.posexplode("keys").alias("j", "key"))
+    cuts = {(r.dim, r.j): np.array(r.at)[[i * cells // r.cells - 1 for i in range(1, r.cells)]] for r in several.groupBy("dim", "cells", "j").agg(F.percentile_approx("key", [i / cells for i in range(1, cells)], 10_000).alias("at")).collect()}
+    shared = vectors.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("array<int>")
+    def cell(dim: pd.Series, keys: pd.Series) -> pd.Series:
+        none = np.empty(0, np.int64)
+        out = pd.Series([None] * len(dim), index=dim.index, dtype=object)
+        for d, some in keys.groupby(dim):
+            k = np.stack(some.to_numpy())
+            at = [np.searchsorted(shared.value.get((d, j), none), k[:, j]) for j in range(orderings)]
+            out[some.index] = pd.Series(list(np.stack(at, axis=1).astype(np.int32)), index=some.index)
+        return out
+
+    part = lambda parts: F.pmod(F.xxhash64("uid"), parts).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    at = F.posexplode(cell("dim", "keys")).alias("ordering", "at")
+    cand = apart.join(plan, F.col("dim") == F.col("of")).select("uid", "id", "v", "dim", part(F.col("c_parts")).alias("c"), "d_parts", at)
+    cand = cand.select("uid", "id", "v", "dim", "ordering", F.col("at").alias("cell"), "c", F.explode(upto(F.col("d_parts"))).alias("d"))
+    asks = rows.filter("is_query").join(plan, F.col("dim") == F.col("of")).select("uid", "id", "v", "dim", part(F.col("d_parts")).alias("d"), "c_parts", "cells", "window", at)
+    first = F.greatest(F.lit(0), F.least(F.col("at") - F.floor(F.col("window") / 2).cast("int"), F.col("cells") - F.col("window")))
+    asks = asks.select("uid", "id", "v", "dim", "ordering", F.explode(F.sequence(first, first + F.col("window") - 1)).alias("cell"), "c_parts", "d")
+    asks = asks.select("uid", "id", "v", "dim", "ordering", "cell", F.explode(upto(F.col("c_parts"))).alias("c"), "d")
+    on = ["dim", "ordering", "cell", "c", "d"]
+    found = asks.groupBy(*on).cogroup(cand.groupBy(*on)).applyInPandas(lambda q, x: rerank(q, x, k), "query long, query_id long, uid long, vec_id long, score double")
+    found = found.groupBy("query", "query_id", "uid", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
