@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,39 +24,109 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}  # by application: this session's folder
+
+
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rowloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local
+    session takes a temporary folder, and a cluster is an error. What is there goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="rowloom-")
+        _OWN[app] = f"{base.rstrip('/')}/rowloom-{uuid.uuid4().hex}"
+        atexit.register(_clean, spark, _OWN[app])
+    return f"{_OWN[app]}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the session may have ended before
+        remove(spark, path)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = scratch(df.sparkSession)
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Files of a table up to which their list is broadcast.
+MOST_FILES = 100_000
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs as a scan of files, and the stored list (file, nth) of these, for numbered(). What is no scan is written first."""
+    try:
+        files = docs.select(docs.metadataColumn("_metadata")["file_path"].alias("file"))
+        files.schema  # noqa: B018  resolves the plan
+    except AnalysisException:
+        docs = written(docs)
+        files = docs.select(docs.metadataColumn("_metadata")["file_path"].alias("file"))
+    return docs, written(files.distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("nth")))
+
+
 def scan_files(docs: DataFrame) -> DataFrame:
-    """(file, nth) of every file that docs, a scan of a table, reads: stored, for numbered()."""
-    files = docs.select(docs.metadataColumn("_metadata")["file_path"].alias("file")).distinct()
-    return written(files.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("nth")))
+    return placed(docs)[1]
 
 
 def numbered(docs: DataFrame, files: DataFrame | None, *columns: Column | str) -> DataFrame:
     """columns of docs and uid, a row's place: its file's number in files and its row in the file, the same in every
-    scan however files are split. Without files, uid holds for one scan only."""
+    scan however files are split."""
     if files is None:
         return docs.select(*columns, F.monotonically_increasing_id().alias("uid"))
     meta = docs.metadataColumn("_metadata")
     rows = docs.select(F.struct(*columns).alias("own"), meta["file_path"].alias("of_file"), meta["row_index"].alias("at"))
-    rows = rows.join(F.broadcast(files), F.col("of_file") == F.col("file"))
+    if files.count() <= MOST_FILES:
+        files = F.broadcast(files)
+    rows = rows.join(files, F.col("of_file") == F.col("file"))
     return rows.select("own.*", (F.shiftleft("nth", 40) + F.col("at")).alias("uid"))
 
 
+#: log2 of the slots of a filter on numbers: 2**17 rows of 64 slots, whatever the table holds.
+SLOT_BITS = 23
+
+
+def slot(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(1 << SLOT_BITS))
+
+
+def probed(rows: DataFrame, at: Column, slots: DataFrame) -> DataFrame:
+    """rows with `maybe`: whether the slot `at` is among slots (one column, `slot`). What is broadcast are
+    2**(SLOT_BITS - 6) rows at most."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    rows = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("__word"), "left")
+    return rows.withColumn("maybe", F.coalesce(F.getbit("__bits", (at % 64).cast("int")), F.lit(0)) == 1).drop("__word", "__bits")
+
+
+def maybe_in(rows: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """rows with `maybe`: false where col is surely none of ids. Beyond some millions of ids it is true everywhere."""
+    return probed(rows, slot(col), ids.select(slot(id_col).alias("slot")))
+
+
+def those_in(rows: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose col is one of ids: the filter first, so that few others are shuffled."""
+    near = maybe_in(rows, col, ids, id_col).filter("maybe").drop("maybe")
+    return near.join(ids.select(F.col(id_col).alias(col)).distinct(), col, "left_semi")
+
+
+def those_not_in(rows: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose col is none of ids; only those that may be are shuffled."""
+    rows = maybe_in(rows, col, ids, id_col)
+    doubtful = rows.filter("maybe").join(ids.select(F.col(id_col).alias(col)), col, "left_anti")
+    return rows.filter("not maybe").unionByName(doubtful).drop("maybe")
+
+
 def quoted(name: str) -> str:
     """A column's name as a reference, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

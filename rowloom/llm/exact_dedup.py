@@ -1,25 +1,28 @@
 """Exact dedup by a log-structured merge index, DataFrame functions only.
 
-Each input partition is a memtable: it pre-aggregates nothing but flushes one run, sorted by digest,
-into a Parquet table whose column chunks carry Bloom filters and minima and maxima on the digest.
-Compaction merges the runs: per digest the winning row (most code points, then smallest id) and the
-group's size. Hits, digests with several rows, are verified byte by byte: the least and the greatest
-normalised text of a digest must be the same bytes; a digest that fails is split by its texts.
+Each input partition is a memtable: it flushes one run, sorted by digest, into a table. The runs' filter has a slot for
+every hash of a digest and says which slots several rows set: a digest in another slot is there once and skips
+all that follows. Compaction merges what is left of the runs: per digest the winning row (most code points, then smallest
+id) and the group's size. Hits, digests with several rows, are verified byte by byte: only their texts are read again and
+shuffled, and the least and the greatest normalised text of a digest must be the same bytes; a digest that fails is
+split by the texts themselves.
+
+The filter has 2**23 slots, a bounded broadcast; beyond some millions of rows it lets more pass, and compaction does the work.
 
 Cases: a null text counts as empty; rows that repeat an id are separate rows of which one at most
-stays (the earliest of the scan); a null id sorts after all others; an empty table gives an empty
-result. Only doc_id and text are read, under names of their own, so clashing columns do no harm.
+stays (the earliest of the table); a null id sorts after all others; an empty table gives an empty
+result. Rows are known by their file and place in it; what is no scan of files is written first. Only
+doc_id and text are read, under names of their own, so clashing columns do no harm.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import WS_CLASS, numbered, record, scan_files, scratch, table, unpacked
-
-#: Rows of one digest are verified in so many parts.
-SALTS = 16
+from rowloom.llm.common import WS_CLASS, maybe_in, numbered, placed, probed, record, slot, table, those_not_in, unpacked, written
 
 
 def normal(text: Column) -> Column:
@@ -27,68 +30,54 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WS_CLASS}]+", "")
 
 
-def flush_runs(docs: DataFrame, digest_bits: int = 256, files: DataFrame | None = None) -> DataFrame:
+def flush_runs(docs: DataFrame, files: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """The runs: uid, doc_id, chars, text_sha256, digest; each part file is sorted by digest."""
     sha = F.sha2(normal(F.col("text")).cast("binary"), 256)
-    runs = numbered(
-        docs, files, "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), sha.alias("text_sha256"),
-    ).withColumn("digest", F.substring("text_sha256", 1, digest_bits // 4)).sortWithinPartitions("digest")
-    path = scratch(docs.sparkSession)
-    runs.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(1 << 18)).parquet(path)
-    return docs.sparkSession.read.schema(runs.schema).parquet(path)
+    runs = numbered(docs, files, "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), sha.alias("text_sha256"))
+    return written(runs.withColumn("digest", digest(F.col("text_sha256"))).sortWithinPartitions("digest"))
 
 
-def _winner() -> list[Column]:
-    order = F.struct(-F.col("chars"), F.col("doc_id").isNull(), "doc_id", "uid")
-    return [F.min(order).alias("best"), F.count("*").alias("group_size")]
-
-
-def compact(runs: DataFrame, by: list[str]) -> DataFrame:
+def compact(runs: DataFrame, by: str) -> DataFrame:
     """One row per key: the row that stays and the size of its group."""
-    merged = runs.groupBy(*by).agg(*_winner())
-    return merged.select(*[F.col(c).alias(f"k_{c}") for c in by], F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), "group_size")
-
-
-def colliding(docs: DataFrame, runs: DataFrame, index: DataFrame, digest_bits: int = 256) -> DataFrame:
-    """Digests of several rows whose normalised texts are not all the same bytes."""
-    hits = index.filter("group_size > 1").select("k_digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("k_salt"))
-    text = normal(F.col("text"))
-    rows = docs.select(text.alias("norm"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int").alias("salt"))
-    rows = rows.withColumn("digest", F.substring(F.sha2(F.col("norm").cast("binary"), 256), 1, digest_bits // 4))
-    rows = rows.join(hits, (F.col("digest") == F.col("k_digest")) & (F.col("salt") == F.col("k_salt")), "left_semi")
-    part = rows.groupBy("digest", "salt").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-    part = part.select("digest", F.when(F.col("low") == F.col("high"), F.sha2(F.col("low").cast("binary"), 512)).alias("same"))
-    ends = part.groupBy("digest").agg(F.min("same").alias("low"), F.max("same").alias("high"), F.count("*").alias("n"), F.count("same").alias("n_same"))
-    return ends.filter("n <> n_same or low <> high").select("digest")
-
-
-def dedup_index(docs: DataFrame, digest_bits: int = 256, files: DataFrame | None = None) -> DataFrame:
-    """Per row of docs: uid (its place in the scan; with files, see numbered(), in every scan), doc_id, keep_id, keep_uid, group_size, text_sha256."""
-    runs = flush_runs(docs, digest_bits, files)
-    index_path = scratch(docs.sparkSession)
-    compact(runs, ["digest"]).write.parquet(index_path)
-    index = docs.sparkSession.read.parquet(index_path)
-    bad_path = scratch(docs.sparkSession)
-    colliding(docs, runs, index, digest_bits).write.parquet(bad_path)
-    bad = docs.sparkSession.read.schema("digest string").parquet(bad_path)
+    order = F.struct(-F.col("chars"), F.col("doc_id").isNull(), "doc_id", "uid")
+    merged = runs.groupBy(F.col(by).alias("key")).agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    return merged.select("key", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), "group_size")
+
+
+def dedup_index(docs: DataFrame, digest: Callable[[Column], Column] = lambda sha: sha) -> DataFrame:
+    """Per row of docs: uid (its place, see numbered()), doc_id, keep_id, keep_uid, group_size, text_sha256."""
+    docs, files = placed(docs)
+    return _index(docs, files, digest)
+
+
+def _index(docs: DataFrame, files: DataFrame, digest: Callable[[Column], Column] = lambda sha: sha) -> DataFrame:
+    runs = flush_runs(docs, files, digest)
+    several = runs.groupBy(slot("digest").alias("slot")).count().filter("count > 1").select("slot")
+    runs = probed(runs, slot("digest"), written(several))
+    own = ["uid", "doc_id", F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("group_size"), "text_sha256"]
+    single, doubtful = runs.filter("not maybe").select(*own), runs.filter("maybe").drop("maybe")
+    index = written(compact(doubtful, "digest"))
+    hits = written(doubtful.join(index.filter("group_size > 1").select(F.col("key").alias("digest")), "digest", "left_semi").select("uid", "digest"))
+    # the texts of hits, and of no other rows
+    texts = maybe_in(numbered(docs, files, "text"), "uid", hits, "uid").filter("maybe").select("uid", normal(F.col("text")).alias("norm")).join(hits, "uid")
+    ends = texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    bad = written(ends.filter("low <> high").select("digest"))
     out = ["uid", "doc_id", "keep_id", "keep_uid", "group_size", "text_sha256"]
     if bad.isEmpty():
-        return runs.join(index, F.col("digest") == F.col("k_digest")).select(*out)
-    # texts that differ under one digest: the full digest of the text tells them apart
-    split = runs.join(bad, "digest", "left_semi")
-    split = split.join(compact(split, ["text_sha256"]), F.col("text_sha256") == F.col("k_text_sha256")).select(*out)
-    rest = runs.join(bad, "digest", "left_anti").join(index, F.col("digest") == F.col("k_digest")).select(*out)
-    return rest.unionByName(split)
+        return single.unionByName(doubtful.join(index, F.col("digest") == F.col("key")).select(*out))
+    # texts that differ under one digest: they tell themselves apart
+    split = doubtful.join(bad, "digest", "left_semi").join(texts.select("uid", "norm"), "uid")
+    split = split.join(compact(split, "norm"), F.col("norm") == F.col("key")).select(*out)
+    rest = doubtful.join(bad, "digest", "left_anti").join(index, F.col("digest") == F.col("key")).select(*out)
+    return single.unionByName(rest).unionByName(split)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     names = docs.columns
-    files = scan_files(docs)
-    dropped = dedup_index(docs, files=files).filter("uid <> keep_uid").select(F.col("uid").alias("__drop_uid"))
-    rows = numbered(docs, files, record(names))
-    rows = rows.join(dropped, F.col("uid") == F.col("__drop_uid"), "left_anti")
-    return rows.select(*unpacked(names))
+    docs, files = placed(docs)
+    dropped = written(_index(docs, files).filter("uid <> keep_uid").select("uid"))
+    return those_not_in(numbered(docs, files, record(names)), "uid", dropped, "uid").select(*unpacked(names))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
