@@ -3,23 +3,24 @@
 A document is the set of its distinct shingles, as 64-bit hashes. A parity sketch XORs every shingle into a bit
 array, so two sketches differ in at most as many bits as the sets have shingles apart. Sketches are cut
 into segments; sets of a size band whose symmetric difference is at most D agree on one of D + 1 segments
-at least (pigeonhole), so an equi-join on (band, segment, its content) finds every linked pair. A segment
+at least (pigeonhole), so sets that share (band, segment, its content) hold every linked pair. A segment
 is kept as a fingerprint, the XOR of the hashes of its odd bits. SPARE more segments than D + 1 are used, so
-that segments without a shingle need not be joined on. A second, 1024-bit sketch per set rejects candidates
+that segments without a shingle need not be joined on. A second, wider sketch per set rejects candidates
 by its Hamming distance; the sets of the others are compared exactly.
 
-No join emits all pairs of a group. Documents with one set are one node. The sets of a segment's large group are held
-against its least one first; groups that this connects are done. The sets that share a segment are then compared by
-sketch inside a task, in blocks of about GROUP_BLOCK, which emits a spanning forest of the pairs that may be linked; the exact comparison
-of these merges components. Then the sets that share a segment but not a component are
-compared anew, without the pairs tested before, until no untested pair is left between two components:
-so the components are those of all links.
+No join emits the pairs of a group. Documents with one set are one node. Segments with the same members are one group.
+In a group, a task first finds by sketch the members that may have a partner in another component; only these are
+sent on with their shingles, and compared exactly: a search in breadth over the links, from component to component, which
+emits the edges of a forest at most. A large group is dealt in blocks: the members of its largest component meet those
+outside of it, and the latter each other. Two passes: first, of each set, the largest group that it is in, which connects most; then all
+groups that still hold several components. Each group is searched to its end in its pass, so the components are those of all links.
+
+Components come from alternating stars: their rounds grow with the logarithm of the longest path.
 
 Cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle is
 one shingle; rows that repeat an id or text are separate rows with one component; a null id takes the least id
-linked with it; an empty table gives an empty result. docs must be a scan of a table: its rows are
-numbered in two scans, and a text that then differs is an error. Only the named columns are read, so clashing
-names do no harm.
+linked with it; an empty table gives an empty result. Rows are known by their file and place in it; what is no scan of files
+is written first. Only the named columns are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -29,22 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import mix, numbered, record, scan_files, table, unpacked, word_hashes, written
+from rowloom.llm.common import mix, numbered, placed, record, table, those_in, those_not_in, unpacked, word_hashes, written
 
 _U = np.uint64
-SKETCH_BITS = 1024
+#: Bits of a set's sketch: at least, and at most.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
 #: Size bands: [LIMITS[i], LIMITS[i + 1]); below the first, linked sets are equal.
 RATIO = 1.5
-#: Members of a segment's group that one task compares at once, about.
-GROUP_BLOCK = 2_000
-#: Slots of the filter on ids, a bound on the rows that are broadcast.
-FILTER_SLOTS = 1 << 20
-#: The same for the filter on segment keys.
-KEY_SLOTS = 1 << 22
+#: Members of a part of a group, and shingles of its sets; a block is two parts.
+MEMBERS, ENTRIES = 1_000, 1 << 18
 
 
 class Plan:
@@ -72,6 +71,12 @@ class Plan:
         spare = 3 + int(1.5 * apart * math.exp(-self.limits[band] / (apart + 1)))
         return apart + 1 + spare, spare
 
+    def bits(self, n: int) -> int:
+        """Bits of the sketch of a set of n shingles, the same power of two for all of a band: some eight times the largest distance."""
+        at = self.bands(n)
+        asked = 8 * self.most_apart(2 * (self.limits[at[-1] + 1] - 1)) if at else 0
+        return min(MOST_BITS, max(LEAST_BITS, 1 << (asked - 1).bit_length() if asked else 0))
+
     def bands(self, n: int) -> list[int]:
         """A set joins in its own band and in those above where a larger partner can be."""
         own = self.band(n)
@@ -93,10 +98,15 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
     return np.unique(s)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The 1024-bit parity sketch, as signed 64-bit words."""
-    bits = np.bincount((shingles % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+def sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The parity sketch, as signed 64-bit words."""
+    odd = np.bincount((shingles % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """A sketch of width words from a wider one, both powers of two."""
+    return np.bitwise_xor.reduce(words.reshape(-1, width), axis=0)
 
 
 def segment_keys(shingles: np.ndarray, plan: Plan) -> np.ndarray:
@@ -134,7 +144,7 @@ def describe(rows: DataFrame, plan: Plan) -> DataFrame:
                     n.append(len(s))
                     lo.append(int.from_bytes(d[:8], "little", signed=True))
                     hi.append(int.from_bytes(d[8:], "little", signed=True))
-                    sketches.append(sketch(s))
+                    sketches.append(sketch(s, plan.bits(len(s))))
                     keys.append(segment_keys(s, plan))
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x), pa.int64())) for x in (sketches, keys)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), *lists], names=["uid", "id", "n", "lo", "hi", "sketch", "keys"])
@@ -148,222 +158,198 @@ def alike(m: np.ndarray, x: np.ndarray, k: np.ndarray, y: np.ndarray, plan: Plan
     return (np.minimum(m, k) * plan.whole >= np.maximum(m, k) * plan.part) & (apart <= (m + k) * (plan.whole - plan.part) // (plan.whole + plan.part))
 
 
-def forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarray, known: set, plan: Plan) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over the sets of one key, between components only: each edge is a pair that
-    size and sketch allow and that isn't known. Breadth first, so a group whose members all resemble
-    the first costs one comparison each."""
-    _, comp = np.unique(comp, return_inverse=True)
-    waiting = np.ones(len(sid), bool)
-    out, queue = [], []
-    for start in range(len(sid)):
-        if not waiting[start]:
-            continue
-        whole = np.flatnonzero(comp == comp[start])
-        waiting[whole] = False
-        queue.extend(whole.tolist())
+def partners(n: np.ndarray, comp: np.ndarray, sketches: np.ndarray, plan: Plan) -> np.ndarray:
+    """Which members may, by size and sketch, be linked with one of another component."""
+    if len(n) <= 24:
+        return (alike(n[:, None], sketches[:, None], n, sketches, plan) & (comp[:, None] != comp)).any(axis=1)
+    live = np.zeros(len(n), bool)
+    for x in range(len(n)):
+        if not live[x]:
+            rest = np.flatnonzero(comp != comp[x])
+            near = rest[alike(n[rest], sketches[rest], n[x], sketches[x], plan)]
+            live[near] = True
+            live[x] = len(near) > 0
+    return live
+
+
+def links(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, shingles: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
+    """Edges (a, b) that connect the components as all links between the sets do: a forest. shingles: those of all sets,
+    one after the other. Sets are counted against all that wait at once, by an index from a shingle to its sets."""
+    ends = np.cumsum(n)
+    if len(sid) == 2:
+        both = len(np.intersect1d(shingles[: n[0]], shingles[n[0] :], assume_unique=True))
+        return [(int(sid[0]), int(sid[1]))] if comp[0] != comp[1] and plan.whole * both >= plan.part * (int(n.sum()) - both) else []
+    _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
+    _, word = np.unique(shingles, return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    holder, sorted_word = np.repeat(np.arange(len(sid)), n)[order], word[order]
+    waiting, indexed = np.ones(len(sid), bool), 0
+    start = count = held = np.empty(0, np.int64)
+    out: list[tuple[int, int]] = []
+    for first in np.argsort(size, kind="stable"):
+        queue = np.flatnonzero(waiting & (comp == first)).tolist()
+        waiting[queue] = False
         while queue and waiting.any():
-            at = queue.pop()
-            rest = np.flatnonzero(waiting)
-            near = alike(n[rest], sketches[rest], n[at], sketches[at], plan)
-            for x in rest[near]:
-                if not waiting[x]:
-                    continue
-                pair = (int(max(sid[at], sid[x])), int(min(sid[at], sid[x])))
-                if pair in known:
-                    continue
-                out.append(pair)
-                whole = np.flatnonzero(waiting & (comp == comp[x]))
-                waiting[whole] = False
-                queue.extend(whole.tolist())
-        queue.clear()
+            left = int(waiting.sum())
+            if not indexed or 2 * left <= indexed:
+                indexed, keep = left, waiting[holder]
+                held, count = holder[keep], np.bincount(sorted_word[keep], minlength=int(sorted_word[-1]) + 1)
+                start = np.cumsum(count) - count
+            x = queue.pop()
+            at = word[ends[x] - n[x] : ends[x]]
+            many = count[at]
+            spot = np.repeat(start[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            both = np.bincount(held[spot], minlength=len(sid))
+            for y in np.flatnonzero(waiting & (plan.whole * both >= plan.part * (n[x] + n - both))):
+                if waiting[y]:
+                    out.append((int(sid[x]), int(sid[y])))
+                    whole = np.flatnonzero(waiting & (comp == comp[y]))
+                    waiting[whole] = False
+                    queue.extend(whole.tolist())
     return out
 
 
-def candidates(cand: DataFrame, reps: DataFrame, comp: DataFrame, tested: DataFrame, plan: Plan, forests: int = 1) -> DataFrame:
-    """Untested pairs (a, b, key) of sets that share the segment key and aren't connected: so many forests, each
-    without the pairs of those before, with fewer edges than the segment has components."""
-    rows = cand.select("key", "sid", "parts")
-    rows = rows.join(comp, F.col("sid") == F.col("node"), "left").select("key", "sid", "parts", F.coalesce("comp", "sid").alias("comp"))
-    part = F.pmod(F.xxhash64("sid"), "parts").cast("int")
-    block = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, part) * F.col("parts") + F.greatest(x, part))
-    rows = rows.withColumn("block", F.explode(block))
-    rows = rows.join(reps.select("sid", "n", "sketch"), "sid")
-    rows = rows.join(tested.groupBy(F.col("a").alias("sid")).agg(F.collect_set("b").alias("tested")), "sid", "left")
-    rows = rows.select("key", "block", "sid", "n", "comp", "sketch", "tested").repartition("key", "block").sortWithinPartitions("key", "block", "sid")
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole (key, block) groups, and where the groups begin and the last ends, from rows sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def full() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, block = t.column("key").to_numpy(), t.column("block").to_numpy()
+        held.clear()
+        return t, np.concatenate(([0], np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1, [len(key)]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
+        if held and last != (key[0], block[0]):
+            yield full()
+        other = np.flatnonzero((key != key[-1]) | (block != block[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield full()
+        held.append(batch.slice(cut))
+        last = (key[-1], block[-1])
+    if held:
+        yield full()
+
+
+def flat(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a list column as unsigned numbers, where each row's begin and the last row's end)."""
+    lists = t.column(name).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+
+
+def dealt(cand: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, block, sid, comp of the groups that hold several components, a row for each block that a member is in."""
+    named = cand.join(comp, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
+    per = named.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    parts = lambda c, w: F.greatest(F.ceil(c / F.lit(MEMBERS)), F.ceil(w / F.lit(ENTRIES)))
+    most = F.max(F.struct("c", "w", "comp"))
+    per = per.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("several"), F.sum("c").alias("c"), F.sum("w").alias("w"), most.alias("major")).filter("several > 1")
+    outer = F.when(parts(F.col("c"), F.col("w")) <= 2, 0).otherwise(parts(F.col("c") - F.col("major.c"), F.col("w") - F.col("major.w")))
+    per = per.select("of", F.col("major.comp").alias("major"), outer.cast("int").alias("p"), parts(F.col("major.c"), F.col("major.w")).cast("int").alias("q"))
+    part = lambda k: F.pmod(F.xxhash64("sid"), F.greatest(k, F.lit(1))).cast("int")
+    to = lambda k: F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0)))
+    p, q = F.col("p"), F.col("q")
+    each_other = F.transform(to(p), lambda j: F.least(part(p), j) * p + F.greatest(part(p), j))
+    outside = F.concat(each_other, F.transform(to(q), lambda j: p * p + part(p) * q + j))
+    inside = F.transform(to(p), lambda i: p * p + i * q + part(q))
+    block = F.when(p == 0, F.array(F.lit(0))).when(F.col("comp") == F.col("major"), inside).otherwise(outside)
+    return named.join(per, F.col("key") == F.col("of")).select("key", F.explode(block).alias("block"), "sid", "comp")
+
+
+def lively(rows: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
+    """Of rows (key, block, sid, comp), those that may by sketch be linked with another component's in their block."""
+    rows = rows.join(reps.select("sid", "n", "sketch"), "sid").select("key", "block", "sid", "comp", "n", "sketch")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            out: list[tuple[int, int, int]] = []
-            if t.num_rows:
-                key, block, sid, n, comp = (t.column(c).to_numpy() for c in ("key", "block", "sid", "n", "comp"))
-                flat = np.concatenate([c.flatten().to_numpy() for c in t.column("sketch").chunks]).view(np.uint64).reshape(len(sid), -1)
-                tested = t.column("tested").to_pylist()
-                cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1
-                lo, hi = np.append(0, cuts), np.append(cuts, len(sid))
-                worth = hi - lo > 1
-                two = np.flatnonzero(hi - lo == 2)  # most groups: judged at once
-                worth[two] = alike(n[lo[two]], flat[lo[two]], n[lo[two] + 1], flat[lo[two] + 1], plan)
-                for lo, hi in zip(lo[worth].tolist(), hi[worth].tolist()):
-                    if hi - lo > 64 or alike(n[lo:hi, None], flat[lo:hi, None], n[lo:hi], flat[lo:hi], plan).sum() > hi - lo:
-                        known = {(a, b) for a, more in zip(sid[lo:hi].tolist(), tested[lo:hi]) if more is not None for b in more}
-                        for _ in range(forests):
-                            new = forest(sid[lo:hi], n[lo:hi], comp[lo:hi], flat[lo:hi], known, plan)
-                            if not new:
-                                break
-                            known.update(new)
-                            out += [(a, b, int(key[lo])) for a, b in new]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "key"])
-
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ends = np.flatnonzero((key != key[-1]) | (block != block[-1]))
-            cut = int(ends[-1]) + 1 if len(ends) else 0  # the last key may go on in the next batch
-            if last is not None and last != (key[0], block[0]) and held:
-                yield solve(pa.Table.from_batches(held))
-                held = []
-            if cut:
-                held.append(batch.slice(0, cut))
-                yield solve(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(cut))
-            last = (key[-1], block[-1])
-        if held:
-            yield solve(pa.Table.from_batches(held))
-
-    return rows.mapInArrow(run, "a long, b long, key long")
-
-
-def unconnected(cand: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows of cand whose key has members of several components."""
-    named = cand.join(comp, F.col("sid") == F.col("node"), "left").select("key", F.coalesce("comp", "sid").alias("comp"))
-    several = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
-    return cand.join(several.select("key"), "key", "left_semi")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """The linked ones of pairs (a, b): by size and sketch first, then by the sets themselves."""
-    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    known = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sizes = F.col("n_a") + F.col("n_b")
-    possible = (F.least("n_a", "n_b") * plan.whole >= F.greatest("n_a", "n_b") * plan.part) & (apart <= F.floor(sizes * (plan.whole - plan.part) / (plan.whole + plan.part)))
-    possible = written(known.filter(possible).select("a", "b", "lo_a", "lo_b"))
-    # only texts of some pair; a filter of at most FILTER_SLOTS numbers keeps most others out of the shuffle
-    ends = possible.select(F.col("a").alias("uid")).union(possible.select(F.col("b").alias("uid"))).distinct()
-    slot = F.pmod(F.xxhash64("uid"), F.lit(FILTER_SLOTS)).cast("int").alias("slot")
-    near = texts.select("uid", "text", slot).join(F.broadcast(ends.select(slot).distinct()), "slot", "left_semi")
-    needed = written(near.select("uid", "text").join(ends, "uid", "left_semi"))
-    pulled = possible.join(needed.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
+        for t, cuts in whole_groups(batches):
+            n, comp = t.column("n").to_numpy(), t.column("comp").to_numpy()
+            words, at = flat(t, "sketch")
+            width = np.diff(at)
+            live = np.zeros(len(n), bool)
+            lo, hi = cuts[:-1], cuts[1:]
+            pair = (hi - lo == 2) & (width[lo] == width[np.minimum(lo + 1, len(n) - 1)])
+            for w in np.unique(width[lo[pair]]):  # most groups: judged at once
+                x = lo[pair & (width[lo] == w)]
+                one, other = (words[at[i][:, None] + np.arange(w)] for i in (x, x + 1))
+                live[x] = live[x + 1] = alike(n[x], one, n[x + 1], other, plan) & (comp[x] != comp[x + 1])
+            for i, j in zip(lo[~pair].tolist(), hi[~pair].tolist()):
+                w = width[i:j].min()
+                same = words[at[i] : at[j]].reshape(-1, w) if width[i:j].max() == w else np.stack([folded(words[at[k] : at[k + 1]], w) for k in range(i, j)])
+                live[i:j] = partners(n[i:j], comp[i:j], same, plan)
+            yield from t.filter(pa.array(live)).select(["key", "block", "sid", "comp"]).to_batches()
+
+    return rows.mapInArrow(run, "key long, block int, sid long, comp long")
+
+
+def bodies(texts: DataFrame, sids: DataFrame, plan: Plan) -> DataFrame:
+    """(node, shingles) of the texts whose uid is in sids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] | None = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                sets = [shingle_set(x.as_py() or b"", plan.width) for x in some.column("text")]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column("uid"), lists], names=["node", "shingles"])
 
-        def own(data: bytes, lo: int) -> np.ndarray:
-            s = shingle_set(data, plan.width)
-            if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) != lo:
-                raise ValueError("the table's rows came in another order in the second scan")
-            return s
+    return those_in(texts.select("uid", "text"), "uid", sids, "sid").mapInArrow(run, "node long, shingles array<long>")
 
-        for batch in batches:
-            linked = []
-            cols = [batch.column(n) for n in ("a", "b", "lo_a", "lo_b", "text_a", "text_b")]
-            for i in range(batch.num_rows):
-                a, b, lo_a, lo_b, x, y = (c[i].as_py() for c in cols)
-                if last is None or last[0] != b:
-                    last = b, own(y or b"", lo_b)
-                s, t = own(x or b"", lo_a), last[1]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if plan.whole * both >= plan.part * (len(s) + len(t) - both):
-                    linked.append((a, b))
-            a, b = zip(*linked) if linked else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return written(pulled.mapInArrow(run, "a long, b long"))
+
+def found_links(live: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Edges (a, b) between components, by the sets themselves, in each block of live."""
+    rows = live.join(sets, F.col("sid") == F.col("node")).select("key", "block", "sid", "comp", "shingles")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in whole_groups(batches):
+            sid, comp = t.column("sid").to_numpy(), t.column("comp").to_numpy()
+            shingles, at = flat(t, "shingles")
+            out = [e for i, j in zip(cuts, cuts[1:]) for e in links(sid[i:j], np.diff(at[i : j + 1]), comp[i:j], shingles[at[i] : at[j]], plan)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of edges (a, b): the least node that it is connected with.
+    """(node, comp) for every node of edges (a, b) but each component's least one, which is comp.
 
-    Rounds: each node takes its least neighbour's name, edges between equal names go. The rounds' names
-    are then followed one after the other."""
+    Alternating stars: each node's greater neighbours move to its least one, then each node's lesser ones. What hangs together stays so;
+    the longest path shortens by a factor in every round, until all edges lead to a least node."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    steps = []
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        step = written(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("to")).withColumnRenamed("a", "from"))
-        steps.append(step)
-        left = edges.join(step.select(F.col("from").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("from").alias("b"), F.col("to").alias("y")), "b")
-        left = left.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        edges = written(left)
-    if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    out = steps[0].select(F.col("from").alias("node"), F.col("to").alias("comp"))
-    for step in steps[1:]:
-        out = out.join(step, F.col("comp") == F.col("from"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    # a name may itself have been renamed in an earlier round only if it is not a least node; follow once more
-    return written(out)
-
-
-def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """rows but those whose uid is in dropped. Only rows that share a slot with a dropped one are shuffled; the slots
-    are FILTER_SLOTS numbers at most."""
-    dropped = written(dropped)
-    slot = F.pmod(F.xxhash64("uid"), F.lit(FILTER_SLOTS)).cast("int").alias("slot")
-    slots = F.broadcast(dropped.select(slot).distinct())
-    rows = rows.withColumn("slot", slot)
-    doubtful = rows.join(slots, "slot", "left_semi").join(dropped, "uid", "left_anti")
-    return rows.join(slots, "slot", "left_anti").unionByName(doubtful).drop("slot")
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None, keep_uid: bool = False, files: DataFrame | None = None) -> DataFrame:
-    """id, n_shingles, component_id of every row of docs (with uid, the row's number in the scan, and
-    first_uid, that of its component's row with the least id, on request; files as in numbered())."""
-    plan = plan or Plan()
+    while True:
+        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.max("v").alias("high")).select("u", "m", ((F.col("m") < F.col("u")) & ((F.col("high") > F.col("u")) | (F.col("high") > F.col("m")))).alias("open")))
+        if least.filter("open").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        moved = large.join(low, F.col("a") == F.col("u")).filter("b <> m").select("b", "m")
+        edges = written(moved.union(low).toDF("a", "b").distinct())
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None, keep_uid: bool = False) -> DataFrame:
+    """id, n_shingles, component_id of every row of docs (with uid, the row's place as in numbered(), and
+    first_uid, that of its component's row with the least id, on request)."""
+    docs, files = placed(docs)
+    return _components(docs, files, id_col, text_col, plan or Plan(), keep_uid)
+
+
+def _components(docs: DataFrame, files: DataFrame, id_col: str, text_col: str, plan: Plan, keep_uid: bool) -> DataFrame:
     texts = numbered(docs, files, F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).select("uid", "id", "text")
     rows = written(describe(texts, plan))
     by_set = rows.filter("n > 0").groupBy("n", "lo", "hi").agg(F.min("uid").alias("sid"), F.min("id").alias("min_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"))
     sets = written(by_set)
-    reps = without(rows.filter(F.size("keys") > 0), rows.join(sets, ["n", "lo", "hi"]).filter("uid <> sid").select("uid"))
-    reps = reps.select(F.col("uid").alias("sid"), "n", "lo", "sketch", "keys")
-    keyed = reps.select("sid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("members")).filter("low < high")
-    shared = written(shared)
-    # most segments that are shared have two members: they are a pair
-    tested = written(shared.filter("members = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).distinct())
-    edges = verified(tested, reps, texts, plan)
-    comp = components(edges)
-    # the members of the others meet in blocks: every pair of its parts is one block
-    parts = F.when(F.col("members") <= GROUP_BLOCK, 1).otherwise(F.ceil(2 * F.col("members") / F.lit(GROUP_BLOCK))).cast("int")
-    crowded = shared.filter("members > 2").select("key", "low", parts.alias("parts"))
-    slot = F.pmod("key", F.lit(KEY_SLOTS)).cast("int").alias("slot")
-    near = keyed.select("sid", "key", slot).join(F.broadcast(crowded.select(slot).distinct()), "slot", "left_semi")
-    cand = written(near.select("sid", "key").join(crowded, "key"))
-    hubs = written(cand.filter("parts > 1 and sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    if not hubs.isEmpty():
-        edges = edges.union(verified(hubs, reps, texts, plan))
-        comp = components(edges)
-        tested = tested.union(hubs)
-        cand = written(cand.filter("parts = 1").unionByName(unconnected(cand.filter("parts > 1"), comp)))
-    forests = 1
-    while not cand.isEmpty():
-        asked = written(candidates(cand, reps, comp, tested, plan, forests))
-        if asked.isEmpty():
-            break
-        pairs = asked.select("a", "b").distinct()
-        links = verified(pairs, reps, texts, plan)
-        # pairs that no tree of a segment's forest holds are ruled out; only where a tree has lost an edge, new pairs can come up
-        lost = asked.join(links, ["a", "b"], "left_anti").select("key").distinct()
-        cand = written(cand.join(lost, "key", "left_semi"))
-        if not links.isEmpty():
-            edges = edges.union(links)
-            comp = components(edges)
-        tested = tested.union(pairs)
-        forests *= 8  # what one round leaves open is hard: near the threshold, and dense
+    twice = written(rows.select("uid", "n", "lo", "hi").join(sets.select("n", "lo", "hi", "sid"), ["n", "lo", "hi"]).filter("uid <> sid").select("uid"))
+    reps = those_not_in(rows.filter(F.size("keys") > 0).select("uid", "n", "sketch", "keys"), "uid", twice, "uid").withColumnRenamed("uid", "sid")
+    comp = components(connected(reps, texts, plan))
     named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("n", "lo", "hi", "min_id", "first", F.coalesce("comp", "sid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.min("first")["uid"].alias("first_uid"))
     named = written(named.join(least, "comp").select(F.col("n").alias("k_n"), F.col("lo").alias("k_lo"), F.col("hi").alias("k_hi"), "component_id", "first_uid"))
@@ -375,14 +361,31 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out if keep_uid else out.drop("uid", "first_uid")
 
 
+def connected(reps: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """Edges (a, b) that connect the sets reps (sid, n, sketch, keys) as all their links do."""
+    keyed = reps.select("sid", "n", F.explode("keys").alias("key"))
+    said = [F.bit_xor(F.xxhash64("sid", F.lit(i))) for i in (1, 2)]
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("members"), said[0].alias("x"), said[1].alias("y")).filter("low < high")
+    # segments with the same members are one group
+    groups = written(shared.groupBy("low", "high", "members", "x", "y").agg(F.min("key").alias("key")).select("key", "members"))
+    cand = written(those_in(keyed, "key", groups, "key").join(groups, "key"))
+    first = written(cand.groupBy("sid").agg(F.max(F.struct("members", "key"))["key"].alias("key")).select("key").distinct())
+    edges = comp = None
+    for some in (cand.join(first, "key", "left_semi"), cand.join(first, "key", "left_anti")):
+        comp = components(edges) if edges is not None else cand.limit(0).select(F.col("sid").alias("node"), F.col("sid").alias("comp"))
+        live = written(lively(dealt(some, comp), reps, plan))
+        sets = written(bodies(texts, live.select("sid").distinct(), plan))
+        new = written(found_links(live, sets, plan))
+        edges = new if edges is None else edges.union(new)
+    return edges
+
+
 def one_of_each(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """The row of each component with the least id (null last, equal ids by place in the scan), with all columns of docs."""
+    """The row of each component with the least id (null last, equal ids by place in the table), with all columns of docs."""
     names = docs.columns
-    files = scan_files(docs)
-    dropped = similar_components(docs, plan=plan, keep_uid=True, files=files).filter("uid <> first_uid").select(F.col("uid").alias("__drop_uid"))
-    rows = numbered(docs, files, record(names))
-    rows = rows.join(dropped, F.col("uid") == F.col("__drop_uid"), "left_anti")
-    return rows.select(*unpacked(names))
+    docs, files = placed(docs)
+    dropped = written(_components(docs, files, "doc_id", "text", plan or Plan(), True).filter("uid <> first_uid").select("uid"))
+    return those_not_in(numbered(docs, files, record(names)), "uid", dropped, "uid").select(*unpacked(names))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
