@@ -14,6 +14,8 @@ is; an empty table gives an empty result. Only the named columns are read, so cl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,23 +51,34 @@ CONTEXT = {
 }
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 WINDOW, BONUS, LEAST = 40, 0.3, 0.5
+#: Numbers whose running sums are made at once.
+CHUNK = 256
 _SPAN = "array<struct<start:int,end:int,score:double>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is made once however often body, or a lambda in it, refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-    n = F.length(digits)
 
-    def term(i: Column) -> Column:
-        d = F.substr(digits, i, F.lit(1)).cast("int")
-        twice = d * 2 - F.when(d > 4, 9).otherwise(0)
-        return F.when((n - i) % 2 == 1, twice).otherwise(d)
+    def passes(each: Column) -> Column:
+        n = F.size(each)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + term(i)) % 10 == 0
+        def term(i: Column) -> Column:
+            d = F.get(each, i).cast("int")
+            twice = d * 2 - F.when(d > 4, 9).otherwise(0)
+            return F.when((n - i) % 2 == 0, twice).otherwise(d)
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + term(i)) % 10 == 0
+
+    return let(F.regexp_extract_all(digits, F.lit("[0-9]"), F.lit(0)), passes)
 
 
 def mod97(iban: Column) -> Column:
@@ -86,7 +99,7 @@ def confirmed(kind: str, m: Column) -> Column:
         part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
         return m.rlike(rf"\A{part}\.{part}\.{part}\.{part}\z")
     if kind == "card":
-        return F.when(F.length(m) < 14, False).otherwise(F.when(F.length(_digits(m)).between(14, 19), luhn(_digits(m))).otherwise(False))
+        return F.when(F.length(m) < 14, False).otherwise(let(_digits(m), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False)))
     if kind == "phone":
         return F.length(_digits(m)).between(10, 15)
     return F.lit(True)
@@ -106,54 +119,76 @@ def iban_tail(head: Column, rest: Column) -> Column:
     return F.get(F.filter(F.array(*ends), lambda t: (t != "") & mod97(F.concat(head, t))), F.lit(0))
 
 
-def _ahead(between: Column, matches: Column, i: Column) -> Column:
-    """The text after match i, 2 * WINDOW code points of it at least: the next pieces, where a gap and a match are two at least."""
-    most = F.lit(2 * WINDOW)
-    piece = lambda gap, m: F.concat(F.left(gap, most), F.coalesce(F.left(m, most), F.lit("")))
+def running(lengths: Column) -> Column:
+    """The running sums of an array of numbers: first of each CHUNK, then inside of each, so that no list of all sums is copied for every one of them."""
+    count = F.size(lengths)
+    chunk = lambda i: F.slice(lengths, i * CHUNK + 1, CHUNK)
+    empty = F.array().cast("array<int>")
+
+    def sums(numbers: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), empty.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(numbers, zero, step, lambda acc: acc["out"])
+
+    chunks = F.sequence(F.lit(0), F.floor((count - 1) / F.lit(CHUNK)).cast("int"))
+    totals = F.transform(chunks, lambda i: F.aggregate(chunk(i), F.lit(0), lambda s, x: s + x))
+    parts = let(sums(totals, F.lit(0)), lambda upto: F.transform(chunks, lambda i: sums(chunk(i), F.when(i > 0, F.get(upto, i - 1)).otherwise(0))))
+    return F.when(count > 0, F.flatten(parts)).otherwise(empty)
+
+
+def _before(gaps: Column, hits: Column, i: Column) -> Column:
+    """The WINDOW code points before match i, across earlier matches: of each piece no more than that is looked at, and there are two at least in a gap with its match."""
     some = F.lit(WINDOW)
-    return F.array_join(F.zip_with(F.slice(between, i + 2, some), F.slice(matches, i + 2, some), piece), "")
+    gap = F.get(gaps, i)
+    first = F.greatest(i - WINDOW, F.lit(0))
+    pieces = F.zip_with(F.slice(gaps, first + 1, i - first), F.slice(hits, first + 1, i - first), lambda g, h: F.concat(F.right(g, some), F.right(h, some)))
+    return F.when((F.length(gap) >= WINDOW) | (i == 0), F.right(gap, some)).otherwise(F.right(F.concat(F.array_join(pieces, ""), gap), some))
+
+
+def _ahead(gaps: Column, hits: Column, i: Column, most: int) -> Column:
+    """The most (at least) code points after match i, across later matches, or all there are."""
+    piece = lambda g, h: F.concat(F.left(g, F.lit(most)), F.coalesce(F.left(h, F.lit(most)), F.lit("")))
+    gap = F.get(gaps, i + 1)
+    across = F.array_join(F.zip_with(F.slice(gaps, i + 2, F.lit(most // 2 + 1)), F.slice(hits, i + 2, F.lit(most // 2 + 1)), piece), "")
+    return F.when((F.length(gap) >= most) | (i == F.size(hits) - 1), F.left(gap, F.lit(most))).otherwise(across)
 
 
 def kind_spans(kind: str, text: Column) -> Column:
     """array<struct<start, end, score>> of a kind's confirmed spans in text."""
-    pattern = PATTERNS[kind]
-    between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(PATTERNS[kind])
     word = rf"(?<![a-z])(?:{CONTEXT[kind]})"
-
-    def add(acc: Column, i: Column) -> Column:
-        gap = F.length(F.get(between, i))
-        m = F.get(matches, i)
-        start = acc["at"] + gap
-        end = start + F.length(m)
-        before = F.right(F.concat(acc["tail"], F.right(F.get(between, i), F.lit(WINDOW))), F.lit(WINDOW))
-        tail = F.right(F.concat(before, F.right(m, F.lit(WINDOW))), F.lit(WINDOW))
-
-        def span(end: Column, after: Column) -> Column:
-            near = F.lower(before).rlike(word) | F.lower(F.left(after, F.lit(WINDOW))).rlike(word)
-            score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BONUS).otherwise(0.0))
-            return F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
-
-        if kind == "iban":
-
-            def from_head(rest: Column) -> Column:
-                whole = F.transform(F.array(iban_tail(m, rest)), lambda t: F.when(t.isNotNull(), span(end + F.length(t), F.substr(rest, F.length(t) + 1))))
-                return F.get(whole, F.lit(0))
-
-            # a group inside an IBAN may look like a head
-            free = start >= acc["until"]
-            one = F.when(free, F.get(F.transform(F.array(_ahead(between, matches, i)), from_head), F.lit(0)))
-        else:
-            one = F.when(confirmed(kind, m), span(end, _ahead(between, matches, i)))
-        ones = F.filter(F.array(one), lambda s: s.isNotNull() & (F.lit(kind in BASE) | (s["score"] >= LEAST)))
-        until = F.greatest(acc["until"], F.coalesce(one["end"], F.lit(0))) if kind == "iban" else acc["until"]
-        found = F.when(F.size(ones) > 0, F.concat(acc["found"], ones)).otherwise(acc["found"])
-        return F.struct(end.alias("at"), tail.alias("tail"), until.alias("until"), found.alias("found"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(0).alias("until"), F.array().cast(_SPAN).alias("found"))
-    some = F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, add, lambda acc: acc["found"]))
+    none = F.array().cast(_SPAN)
+
+    def scored(start: Column, end: Column, before: Column, after: Column) -> Column:
+        near = F.lower(before).rlike(word) | F.lower(F.left(after, F.lit(WINDOW))).rlike(word)
+        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BONUS).otherwise(0.0))
+        return F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
+
+    def spans(x: Column) -> Column:
+        gaps, hits = x["gaps"], x["hits"]
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
+
+        def each(ends: Column) -> Column:
+            def one(i: Column) -> Column:
+                m, end = F.get(hits, i), F.get(ends, i)
+                start = end - F.length(m)
+                if kind == "iban":
+                    # the end follows from the text after the head
+                    after = lambda rest, tail: scored(start, end + F.length(tail), _before(gaps, hits, i), F.substr(rest, F.length(tail) + 1))
+                    return let(_ahead(gaps, hits, i, 2 * WINDOW), lambda rest: let(iban_tail(m, rest), lambda tail: F.when(tail.isNotNull(), after(rest, tail))))
+                return F.when(confirmed(kind, m), scored(start, end, _before(gaps, hits, i), _ahead(gaps, hits, i, WINDOW)))
+
+            return F.transform(F.sequence(F.lit(0), F.size(hits) - 1), one)
+
+        return F.when(F.size(hits) > 0, F.filter(let(running(lengths), each), lambda s: s.isNotNull() & (F.lit(kind in BASE) | (s["score"] >= LEAST)))).otherwise(none)
+
+    found = let(F.struct(F.split(text, PATTERNS[kind], -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits")), spans)
+    if kind == "iban":
+        # a group inside an IBAN may look like a head
+        free = lambda acc, s: (F.size(acc) == 0) | (s["start"] >= F.try_element_at(acc, F.lit(-1))["end"])
+        found = F.aggregate(found, none, lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
     possible = text.contains(NEEDED[kind]) if kind in NEEDED else F.lit(True)
-    return F.coalesce(F.when(possible, some), F.array().cast(_SPAN))
+    return F.coalesce(F.when(possible, found), none)
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
