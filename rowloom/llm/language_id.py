@@ -9,7 +9,8 @@ exceeds PENALTY * log(words + 1). The prediction is the largest proportion.
 Cases: a text that is null, empty or without a letter is `und` with score 0, as is everything if nothing was
 learned; ties go to the language that sorts first; a null id counts as the empty text for the held-out rule;
 rows that repeat an id are judged separately; an empty table gives an empty result; a null label is
-not learned from. Long texts are read whole, in stretches of words. Only id, text and lang are read,
+not learned from. Texts beyond STRETCH characters are read whole, in stretches that end at a space (or, where there is none, after STRETCH
+characters): their sums are added up, and each round of expectation-maximisation goes over them again. Only id, text and lang are read,
 under names of their own, so clashing names do no harm.
 """
 
@@ -54,6 +55,17 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, first, np.searchsorted(ends, at[first], side="right")
 
 
+def pieces(text: str, size: int = STRETCH) -> Iterator[str]:
+    """A long text in stretches of about size characters."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + size, at + 2 * size)
+        if end < 0:
+            end = at + size if at + 2 * size < len(text) else len(text)
+        yield text[at:end]
+        at = end
+
+
 def stretches(texts: list[str], size: int = STRETCH) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about size characters: (place of the first, the texts)."""
     start, held = 0, 0
@@ -75,7 +87,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         for batch in batches:
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append(text)
+                by.setdefault(lang, []).extend(pieces(text) if len(text) > STRETCH else [text])
             for lang, texts in by.items():
                 for _, some in stretches(texts):
                     n = np.bincount(trigrams(some)[0], minlength=BUCKETS)
@@ -152,6 +164,46 @@ def infer(texts: list[str], logp: np.ndarray, penalty: float = PENALTY) -> tuple
     return best, np.clip(score, 0, 1), size
 
 
+def infer_long(text: str, logp: np.ndarray, penalty: float = PENALTY, size: int = STRETCH) -> tuple[int, float, int]:
+    """The same as infer() for one text, a stretch at a time."""
+    def likelihoods() -> Iterator[np.ndarray]:
+        for piece in pieces(text, size):
+            ll, _ = word_likelihoods([piece], logp)
+            if len(ll):
+                yield (ll - ll.max(axis=1, keepdims=True)).astype(float)
+
+    n_lang, n, single = logp.shape[1], 0, 0.0
+    if n_lang:
+        for ll in likelihoods():
+            n, single = n + len(ll), single + ll.sum(axis=0)
+    if not n:
+        return -1, 0.0, 0
+
+    def mixed(pi: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+        for _ in range(rounds):
+            total = np.zeros(n_lang)
+            for ll in likelihoods():
+                r = np.exp(ll) * pi
+                total += (r / np.maximum(r.sum(axis=1, keepdims=True), 1e-30)).sum(axis=0)
+            pi = total / n
+        return pi, sum(np.log(np.maximum((np.exp(ll) * pi).sum(axis=1), 1e-30)).sum() for ll in likelihoods())
+
+    pi, _ = mixed(np.full(n_lang, 1 / n_lang), 8)
+    order = np.argsort(-pi, kind="stable")
+    best = int(single.argmax())
+    score, chosen, reached = float(pi[best]), 1, float(single.max())
+    for m in range(2, n_lang + 1):
+        if pi[order[m - 1]] <= 0.01:
+            break
+        of = np.zeros(n_lang)
+        of[order[:m]] = pi[order[:m]]
+        of, total = mixed(of / of.sum(), 6)
+        if total - reached <= penalty * np.log(n + 1):
+            break
+        best, score, chosen, reached = int(of.argmax()), float(of.max()), m, total
+    return best, min(1.0, max(0.0, score)), chosen
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", carry: list[Column] | None = None) -> DataFrame:
     """carry (the id by default), lang_pred, score and n_langs (size of the selected set) of every row."""
     langs, logp = model
@@ -164,8 +216,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         names = np.array([*names, "und"], object)
         for texts in batches:
             texts = [t or "" for t in texts]
-            parts = [infer(some, table) for _, some in stretches(texts)]
+            parts = [infer(some, table) for _, some in stretches(["" if len(t) > STRETCH else t for t in texts])]
             best, score, size = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [])
+            for i, t in enumerate(texts):
+                if len(t) > STRETCH:
+                    best[i], score[i], size[i] = infer_long(t, table)
             yield pd.DataFrame({"lang": names[best] if len(best) else [], "score": score, "n_langs": size})
 
     out = docs.select(*(carry or [F.col(id_col)]), judge(lettered).alias("__judged"))

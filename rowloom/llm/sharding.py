@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards.
 
 Pass 1 scatters records by a seeded hash into memory-sized buckets, uniformly whatever their keys:
-the hash takes the record's place in the scan along with its id, so equal ids spread too. Pass 2 puts
+the hash takes the record's place in the scan and nothing else, so equal ids and texts spread too. Pass 2 puts
 every bucket in an order that doesn't depend on arrival, shuffles it with Fisher-Yates and writes
 it. Bucket counts (one small row per bucket) give each record its global position; shard s holds the
 positions from s * N / shards on. The law is `rows`: counts differ by one at most.

@@ -51,10 +51,10 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def ngram_ids(host: str, path: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Hashed character n-grams (2 to 4) of host and path, each with its own prefix."""
+    """Hashed character n-grams (2 to 4) of host and path, each with its own prefix; none of an empty one."""
     out = []
     for tag, s in (("h", host), ("p", path)):
-        s = f"^{s}$"
+        s = f"^{s}$" if s else ""
         out += [zlib.crc32(f"{tag}{s[i : i + n]}".encode("utf-8", "surrogatepass")) % buckets for n in (2, 3, 4) for i in range(len(s) - n + 1)]
     return np.unique(np.array(out, np.int64))
 
@@ -71,7 +71,7 @@ def fit(urls: pd.DataFrame, buckets: int = BUCKETS, epochs: int = 30, rate: floa
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
             f = feats[i]
-            scale = 1 / np.sqrt(len(f))
+            scale = 1 / np.sqrt(max(1, len(f)))
             g = 1 / (1 + np.exp(-np.clip(w[f].sum() * scale + bias, -30, 30))) - y[i]
             gf = g * scale + ridge * w[f]
             seen[f] += gf * gf
@@ -89,7 +89,7 @@ def score_urls(df: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         w, b = shared.value
         for hosts, paths in parts:
-            z = [w[f := ngram_ids(h, p, len(w))].sum() / np.sqrt(len(f)) + b for h, p in zip(hosts, paths)]
+            z = [w[f := ngram_ids(h, p, len(w))].sum() / np.sqrt(max(1, len(f))) + b for h, p in zip(hosts, paths)]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))
 
     return df.withColumn("block_score", score("host", "path"))
