@@ -252,7 +252,7 @@ def dealt(cand: DataFrame, comp: DataFrame) -> DataFrame:
     most = F.max(F.struct("c", "w", "comp"))
     per = per.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("several"), F.sum("c").alias("c"), F.sum("w").alias("w"), most.alias("major")).filter("several > 1")
     outer = F.when(parts(F.col("c"), F.col("w")) <= 2, 0).otherwise(parts(F.col("c") - F.col("major.c"), F.col("w") - F.col("major.w")))
-    per = per.select("of", F.col("major.comp").alias("major"), outer.cast("int").alias("p"), parts(F.col("major.c"), F.col("major.w")).cast("int").alias("q"))
+    per = written(per.select("of", F.col("major.comp").alias("major"), outer.cast("int").alias("p"), parts(F.col("major.c"), F.col("major.w")).cast("int").alias("q")))  # stored: a join of its own, whose large groups can then be split
     part = lambda k: F.pmod(F.xxhash64("sid"), F.greatest(k, F.lit(1))).cast("int")
     to = lambda k: F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0)))
     p, q = F.col("p"), F.col("q")
@@ -363,12 +363,16 @@ def _components(docs: DataFrame, files: DataFrame, id_col: str, text_col: str, p
 
 def connected(reps: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """Edges (a, b) that connect the sets reps (sid, n, sketch, keys) as all their links do."""
-    keyed = reps.select("sid", "n", F.explode("keys").alias("key"))
-    said = [F.bit_xor(F.xxhash64("sid", F.lit(i))) for i in (1, 2)]
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("members"), said[0].alias("x"), said[1].alias("y")).filter("low < high")
+    keyed = reps.select("sid", F.explode("keys").alias("key"))
+    # most keys are there once: two numbers a row are shuffled, and aggregated where they arrive
+    ends = keyed.repartition("key").groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
+    shared = written(ends.filter("low < high").select("key"))
+    member = written(those_in(reps.select("sid", "n", F.explode("keys").alias("key")), "key", shared, "key"))
     # segments with the same members are one group
-    groups = written(shared.groupBy("low", "high", "members", "x", "y").agg(F.min("key").alias("key")).select("key", "members"))
-    cand = written(those_in(keyed, "key", groups, "key").join(groups, "key"))
+    said = [F.bit_xor(F.xxhash64("sid", F.lit(i))) for i in (1, 2)]
+    groups = member.groupBy("key").agg(F.count("*").alias("members"), said[0].alias("x"), said[1].alias("y"))
+    groups = written(groups.groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members"))
+    cand = written(member.join(groups, "key"))
     first = written(cand.groupBy("sid").agg(F.max(F.struct("members", "key"))["key"].alias("key")).select("key").distinct())
     edges = comp = None
     for some in (cand.join(first, "key", "left_semi"), cand.join(first, "key", "left_anti")):
