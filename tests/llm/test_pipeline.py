@@ -26,7 +26,7 @@ def words(text):
 def stages(spark):
     """(name, input, output) of every stage, over whole documents and rows with nulls and odd names beside them."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("a.b", F.lit(1)).withColumn("row", F.lit("x")).withColumn("uid", F.lit(7)).withColumn("`", F.lit(8))
-    odd = [(None, "the words of it and the rest of that", None, None, None), (-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "12 34", "en", "s", 5)]
+    odd = [(None, "the words of it and the rest of that", None, None, None), (-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "12 34", "en", "s", 5), (-4, "<|endoftext|> at its ends and <|endoftext|><|endoftext|>", "en", "s", 50)]
     odd = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
     docs = written(docs.unionByName(odd, allowMissingColumns=True).unionByName(odd, allowMissingColumns=True))
     out = []
@@ -89,7 +89,7 @@ def test_mixing_stage(stages):
     copies = Counter()
     for r in after.collect():
         mixed[r.source] += len(words(r.text))
-        assert words(r.text) == texts[r.doc_id][: len(words(r.text))]
+        assert words(r.text) == texts[r.doc_id]
         copies[r.doc_id] += len(words(r.text))
     order = [*sorted((s for s in sizes if s is not None), key=lambda s: s.encode()), *[s for s in sizes if s is None]]
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
@@ -104,14 +104,14 @@ def test_mixing_stage(stages):
             left -= target[s]
         free -= full
     target |= {s: share * weight[s] for s in free}
-    assert all(abs(mixed[s] - target[s]) <= 1 for s in order)
+    longest = {s: max(len(words(r.text)) for r in before.collect() if r.source == s) for s in order}
+    assert all(abs(mixed[s] - target[s]) <= 1 + longest[s] / 2 for s in order)
     assert all(n <= 2 * len(texts[d]) for d, n in copies.items())
 
 
 def test_packing_stage(stages):
     _, before, after = stages[4]
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = Counter()
     for r in before.collect():
         want.update(zip([r.doc_id] * 10**6, [*tok.encode(r.text, add_special_tokens=False).ids, 0]))
@@ -148,7 +148,7 @@ def test_contract_columns(spark, name):
         assert out.count() == spark.read.parquet(f"{SF_DIR}/{per_row}.parquet").count()
 
 
-@pytest.mark.parametrize("module, inner, outer", [(exact_dedup, "dedup_index", "deduplicated"), (mixing, "mix_sources", "mixed_documents"), (jaccard_join, "similar_components", "one_of_each")])
+@pytest.mark.parametrize("module, inner, outer", [(exact_dedup, "_index", "deduplicated"), (mixing, "drawn", "mixed_documents"), (jaccard_join, "_components", "one_of_each")])
 def test_scans_split_otherwise(spark, tmp_path, monkeypatch, module, inner, outer):
     """A stage's second scan may be split into other partitions than its first: the same rows stay."""
     rows = [(i, " ".join(f"w{i % 50}x{j}" for j in range(8 + i % 50 % 7)), "en", "ab"[i % 2]) for i in range(120)]
