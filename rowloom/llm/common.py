@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,17 +53,54 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def _clean(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Py4JError, OSError):  # the session may have ended before
+    with contextlib.suppress(Py4JError, OSError, AttributeError, TypeError):  # the session may have ended before
         remove(spark, path)
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives lost executors."""
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def written(df: DataFrame, path: str | None = None, batch: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and outlives lost executors. batch: bytes of a batch that is sent to Python
+    workers meanwhile, where the session's own setting is too large for wide rows; it is as before afterwards."""
     path = path or scratch(df.sparkSession)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    try:
+        if batch:
+            conf.set(_BATCH, batch)
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that are worked on at once where rows hold texts.
+ROWS = 512
+
+
+def slices(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch, which may be large, in parts of so many rows, without a copy."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def settled(run: Callable) -> Callable:
+    """run, a function over batches in a Python worker, after which the worker gives its free memory back: workers stay
+    for the next stages, beside the executor's heap."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 #: Files of a table up to which their list is broadcast.
 MOST_FILES = 100_000
 
@@ -75,15 +116,9 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs, written(files.distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("nth")))
 
 
-def scan_files(docs: DataFrame) -> DataFrame:
-    return placed(docs)[1]
-
-
-def numbered(docs: DataFrame, files: DataFrame | None, *columns: Column | str) -> DataFrame:
+def numbered(docs: DataFrame, files: DataFrame, *columns: Column | str) -> DataFrame:
     """columns of docs and uid, a row's place: its file's number in files and its row in the file, the same in every
     scan however files are split."""
-    if files is None:
-        return docs.select(*columns, F.monotonically_increasing_id().alias("uid"))
     meta = docs.metadataColumn("_metadata")
     rows = docs.select(F.struct(*columns).alias("own"), meta["file_path"].alias("of_file"), meta["row_index"].alias("at"))
     if files.count() <= MOST_FILES:

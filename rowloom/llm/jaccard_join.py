@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import mix, numbered, placed, record, table, those_in, those_not_in, unpacked, word_hashes, written
+from rowloom.llm.common import mix, numbered, placed, record, settled, slices, table, those_in, those_not_in, unpacked, word_hashes, written
 
 _U = np.uint64
 #: Bits of a set's sketch: at least, and at most.
@@ -44,6 +44,10 @@ LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
 RATIO = 1.5
 #: Members of a part of a group, and shingles of its sets; a block is two parts.
 MEMBERS, ENTRIES = 1_000, 1 << 18
+#: Bytes of a batch that are worked on at once, where groups are smaller.
+HELD = 8 << 20
+#: What is sent to a Python worker at once: beside the heap, an executor holds some such batches.
+BATCH = "8m"
 
 
 class Plan:
@@ -135,8 +139,7 @@ def describe(rows: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch):
                 n, lo, hi, sketches, keys = [], [], [], [], []
                 for text in some.column(2):
                     s = shingle_set(text.as_py() or b"", plan.width)
@@ -149,7 +152,7 @@ def describe(rows: DataFrame, plan: Plan) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x), pa.int64())) for x in (sketches, keys)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), *lists], names=["uid", "id", "n", "lo", "hi", "sketch", "keys"])
 
-    return rows.mapInArrow(run, f"uid long, id {kind}, n long, lo long, hi long, sketch array<long>, keys array<long>")
+    return rows.mapInArrow(settled(run), f"uid long, id {kind}, n long, lo long, hi long, sketch array<long>, keys array<long>")
 
 
 def alike(m: np.ndarray, x: np.ndarray, k: np.ndarray, y: np.ndarray, plan: Plan) -> np.ndarray:
@@ -220,9 +223,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         held.clear()
         return t, np.concatenate(([0], np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1, [len(key)]))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    # a part of a batch at a time, about HELD bytes
+    for batch in (some for b in batches for some in slices(b, max(1, b.num_rows * HELD // max(1, b.nbytes)))):
         key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
         if held and last != (key[0], block[0]):
             yield full()
@@ -248,7 +250,7 @@ def dealt(cand: DataFrame, comp: DataFrame) -> DataFrame:
     """key, block, sid, comp of the groups that hold several components, a row for each block that a member is in."""
     named = cand.join(comp, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
     per = named.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    parts = lambda c, w: F.greatest(F.ceil(c / F.lit(MEMBERS)), F.ceil(w / F.lit(ENTRIES)))
+    parts = lambda c, w: F.greatest(F.ceil(c / F.lit(MEMBERS)), F.least(c, F.ceil(w / F.lit(ENTRIES))))
     most = F.max(F.struct("c", "w", "comp"))
     per = per.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("several"), F.sum("c").alias("c"), F.sum("w").alias("w"), most.alias("major")).filter("several > 1")
     outer = F.when(parts(F.col("c"), F.col("w")) <= 2, 0).otherwise(parts(F.col("c") - F.col("major.c"), F.col("w") - F.col("major.w")))
@@ -286,7 +288,7 @@ def lively(rows: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
                 live[i:j] = partners(n[i:j], comp[i:j], same, plan)
             yield from t.filter(pa.array(live)).select(["key", "block", "sid", "comp"]).to_batches()
 
-    return rows.mapInArrow(run, "key long, block int, sid long, comp long")
+    return rows.mapInArrow(settled(run), "key long, block int, sid long, comp long")
 
 
 def bodies(texts: DataFrame, sids: DataFrame, plan: Plan) -> DataFrame:
@@ -294,13 +296,12 @@ def bodies(texts: DataFrame, sids: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch):
                 sets = [shingle_set(x.as_py() or b"", plan.width) for x in some.column("text")]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays([some.column("uid"), lists], names=["node", "shingles"])
 
-    return those_in(texts.select("uid", "text"), "uid", sids, "sid").mapInArrow(run, "node long, shingles array<long>")
+    return those_in(texts.select("uid", "text"), "uid", sids, "sid").mapInArrow(settled(run), "node long, shingles array<long>")
 
 
 def found_links(live: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -315,7 +316,7 @@ def found_links(live: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
             out = [e for i, j in zip(cuts, cuts[1:]) for e in links(sid[i:j], np.diff(at[i : j + 1]), comp[i:j], shingles[at[i] : at[j]], plan)]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(settled(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -344,7 +345,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _components(docs: DataFrame, files: DataFrame, id_col: str, text_col: str, plan: Plan, keep_uid: bool) -> DataFrame:
     texts = numbered(docs, files, F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).select("uid", "id", "text")
-    rows = written(describe(texts, plan))
+    rows = written(describe(texts, plan), batch=BATCH)
     by_set = rows.filter("n > 0").groupBy("n", "lo", "hi").agg(F.min("uid").alias("sid"), F.min("id").alias("min_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"))
     sets = written(by_set)
     twice = written(rows.select("uid", "n", "lo", "hi").join(sets.select("n", "lo", "hi", "sid"), ["n", "lo", "hi"]).filter("uid <> sid").select("uid"))
@@ -377,9 +378,9 @@ def connected(reps: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     edges = comp = None
     for some in (cand.join(first, "key", "left_semi"), cand.join(first, "key", "left_anti")):
         comp = components(edges) if edges is not None else cand.limit(0).select(F.col("sid").alias("node"), F.col("sid").alias("comp"))
-        live = written(lively(dealt(some, comp), reps, plan))
-        sets = written(bodies(texts, live.select("sid").distinct(), plan))
-        new = written(found_links(live, sets, plan))
+        live = written(lively(dealt(some, comp), reps, plan), batch=BATCH)
+        sets = written(bodies(texts, live.select("sid").distinct(), plan), batch=BATCH)
+        new = written(found_links(live, sets, plan), batch=BATCH)
         edges = new if edges is None else edges.union(new)
     return edges
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import id_text, record, table, unpacked
+from rowloom.llm.common import id_text, record, settled, slices, table, unpacked
 
 #: Hashed trigrams; the model has languages * BUCKETS numbers.
 BUCKETS = 1 << 15
@@ -84,7 +84,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (some for b in batches for some in slices(b)):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).extend(pieces(text) if len(text) > STRETCH else [text])
@@ -96,7 +96,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             k = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n[k].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(settled(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = [r[0] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -210,8 +210,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((langs, logp))  # at most MAX_LANGUAGES * BUCKETS * 4 bytes
     lettered = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
 
-    @F.pandas_udf("lang string, score double, n_langs int")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @settled
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, table = shared.value
         names = np.array([*names, "und"], object)
         for texts in batches:
@@ -223,6 +223,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                     best[i], score[i], size[i] = infer_long(t, table)
             yield pd.DataFrame({"lang": names[best] if len(best) else [], "score": score, "n_langs": size})
 
+    @F.pandas_udf("lang string, score double, n_langs int")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from judged(batches)
+
     out = docs.select(*(carry or [F.col(id_col)]), judge(lettered).alias("__judged"))
     kept = [c for c in out.columns if c != "__judged"]
     return out.select(*kept, F.col("__judged.lang").alias("lang_pred"), F.col("__judged.score").alias("score"), F.col("__judged.n_langs").alias("n_langs"))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import _LOWER, _SPACE, id_text, mix, remove, scratch, table, word_hashes, written
+from rowloom.llm.common import _LOWER, _SPACE, id_text, mix, remove, scratch, settled, table, word_hashes, written
 
 _U = np.uint64
 #: Classes of the previous word: 0 is the start of a text. A class is known by the word's last SUFFIX bytes.
@@ -165,7 +165,7 @@ def part_sizes(rows: DataFrame, parts: int) -> DataFrame:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["part", "n"])
 
-    return rows.select("text").mapInArrow(run, "part int, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(settled(run), "part int, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
 
 def counted_blocks(rows: DataFrame, parts: int, slots: int) -> DataFrame:
@@ -188,7 +188,7 @@ def counted_blocks(rows: DataFrame, parts: int, slots: int) -> DataFrame:
         if block.lens:
             yield from flush()
 
-    return rows.filter("not off").select("text").mapInArrow(run, f"part int, block long, {', '.join(f'{c} binary' for c in COUNTED)}")
+    return rows.filter("not off").select("text").mapInArrow(settled(run), f"part int, block long, {', '.join(f'{c} binary' for c in COUNTED)}")
 
 
 TOKENS = [*COUNTED, "docs"]
@@ -222,7 +222,7 @@ def token_blocks(rows: DataFrame, parts: int, slots: int) -> DataFrame:
         if ids:
             yield from flush()
 
-    return rows.mapInArrow(run, f"part int, block long, {', '.join(f'{c} binary' for c in TOKENS)}, ids array<string>, held array<boolean>, lens array<long>")
+    return rows.mapInArrow(settled(run), f"part int, block long, {', '.join(f'{c} binary' for c in TOKENS)}, ids array<string>, held array<boolean>, lens array<long>")
 
 
 def part_of(words: np.ndarray, parts: int) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import table
+from rowloom.llm.common import settled, slices, table
 
 CAPACITY = 1024
 #: Added tokens of the vocabulary, which the ranks don't hold.
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             pending = []
 
         held = 0
-        for batch in batches:
+        for batch in (some for b in batches for some in slices(b)):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array([*encode(text), 0], dtype="<u4")
                 pending.append((key, ids))
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         if pending:
             yield from flush(schema)
 
-    return rows.mapInArrow(run, SCHEMA.format(kind=kind)).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(settled(run), SCHEMA.format(kind=kind)).withColumnRenamed("id", id_col)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
