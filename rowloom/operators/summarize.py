@@ -27,7 +27,7 @@ def count_average(df: DataFrame, key: Column, value: Column) -> DataFrame:
 
 
 #: Ranges of values that a key's rows are counted in on the way to its median.
-RANGES = 256
+RANGES = 64
 
 
 def medians(counted: DataFrame) -> DataFrame:
