@@ -14,7 +14,7 @@ from rowloom.llm.exact_dedup import deduplicated
 from rowloom.llm.jaccard_join import Plan, one_of_each
 from rowloom.llm.language_id import identified
 from rowloom.llm.mixing import mixed_documents
-from rowloom.llm.packing import pack
+from rowloom.llm.packing import BATCH, pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids."""
-    return pack(docs)
+    """Pieces of token sequences, with their ids; stored here, as only then its texts go to workers in batches of a size set for it."""
+    return written(pack(docs), batch=BATCH)
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact_dedup), ("n-gram Jaccard join", near_dedup), ("mixing", mix), ("packing", packing)]

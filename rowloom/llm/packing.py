@@ -32,6 +32,11 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import settled, slices, table
 
 CAPACITY = 1024
+#: Bytes of a batch that a pipeline sends to a Python worker at once: texts of 10,000 rows take tens of MB in the executor, twice
+#: while they grow, and again in the worker. Units go over batches, so pieces don't depend on it.
+BATCH = "2m"
+#: Pieces that a worker sends back at once: 4 KB of ids each at most, with CAPACITY.
+PIECES = 512
 #: Added tokens of the vocabulary, which the ranks don't hold.
 ADDED = {"<|endoftext|>": 50256}
 #: Documents whose rests are packed together.
@@ -86,47 +91,50 @@ def pack_unit(rests: list[tuple[int, int]], capacity: int) -> list[tuple[int, in
     return out
 
 
+def pieces(batches: Iterator[pa.RecordBatch], encode: Callable[[str], list[int]], base: int, capacity: int = CAPACITY, unit: int = UNIT) -> Iterator[pa.RecordBatch]:
+    """Pieces of the documents (id, text) of a task, PIECES at a time. base: its first sequence_id."""
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    made, pending = 0, []
+
+    def flush(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        nonlocal made, pending
+        placed = pack_unit([(i, len(ids) % capacity) for i, (_, ids) in enumerate(pending)], capacity)
+        rows = [(i, len(pending[i][1]) // capacity * capacity + cut, n, made + at, offset) for i, cut, n, at, offset in placed]
+        made += max((r[3] for r in placed), default=-1) + 1
+        for i, (_, ids) in enumerate(pending):
+            for s in range(0, len(ids) // capacity * capacity, capacity):
+                rows.append((i, s, capacity, made, 0))
+                made += 1
+        for at in range(0, len(rows), PIECES):
+            some = rows[at : at + PIECES]
+            blobs = [pending[i][1][s : s + n].tobytes() for i, s, n, _, _ in some]
+            cols = [[s for _, s, *_ in some], [r[2] for r in some], [zlib.crc32(b) for b in blobs], [len(pending[r[0]][1]) for r in some], [base + r[3] for r in some], [r[4] for r in some]]
+            ids = pa.array([pending[r[0]][0] for r in some], type=schema.field("id").type)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols), pa.array(blobs, pa.binary())], names=["id", *names, "ids"])
+        pending = []
+
+    held = 0
+    for batch in (some for b in batches for some in slices(b)):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids = np.array([*encode(text), 0], dtype="<u4")
+            pending.append((key, ids))
+            held += len(ids)
+            if len(pending) >= unit or held >= 4_000_000:
+                yield from flush(batch.schema)
+                held = 0
+        schema = batch.schema
+    if pending:
+        yield from flush(schema)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, unit: int = UNIT, vocab: str | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids
     themselves (little-endian unsigned 32-bit)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocab or vocabulary())
-        base = TaskContext.get().partitionId() << 40
-        made, unit_rows, pending = 0, [], []
-
-        def flush(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-            nonlocal made, unit_rows, pending
-            placed = pack_unit([(i, len(ids) % capacity) for i, (_, ids) in enumerate(pending)], capacity)
-            rows = [(i, len(pending[i][1]) // capacity * capacity + cut, n, made + at, offset) for i, cut, n, at, offset in placed]
-            made += max((r[3] for r in placed), default=-1) + 1
-            for i, (_, ids) in enumerate(pending):
-                for s in range(0, len(ids) // capacity * capacity, capacity):
-                    rows.append((i, s, capacity, made, 0))
-                    made += 1
-            for at in range(0, len(rows), 8192):
-                some = rows[at : at + 8192]
-                blobs = [pending[i][1][s : s + n].tobytes() for i, s, n, _, _ in some]
-                cols = [[s for _, s, *_ in some], [r[2] for r in some], [zlib.crc32(b) for b in blobs], [len(pending[r[0]][1]) for r in some], [base + r[3] for r in some], [r[4] for r in some]]
-                ids = pa.array([pending[r[0]][0] for r in some], type=schema.field("id").type)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols), pa.array(blobs, pa.binary())], names=["id", *names, "ids"])
-            pending = []
-
-        held = 0
-        for batch in (some for b in batches for some in slices(b)):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*encode(text), 0], dtype="<u4")
-                pending.append((key, ids))
-                held += len(ids)
-                if len(pending) >= unit or held >= 4_000_000:
-                    yield from flush(batch.schema)
-                    held = 0
-            schema = batch.schema
-        if pending:
-            yield from flush(schema)
+        yield from pieces(batches, encoder(vocab or vocabulary()), TaskContext.get().partitionId() << 40, capacity, unit)
 
     return rows.mapInArrow(settled(run), SCHEMA.format(kind=kind)).withColumnRenamed("id", id_col)
 

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from rowloom.llm import exact_dedup, jaccard_join, mixing
+from rowloom.llm import exact_dedup, jaccard_join, mixing, packing
 from rowloom.llm.common import written
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -168,3 +169,37 @@ def test_scans_split_otherwise(spark, tmp_path, monkeypatch, module, inner, oute
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == want
+
+
+def test_packing_batches(spark, monkeypatch):
+    """What executors and packing's workers hold of texts and ids at once has a bound in bytes, whatever the rows are."""
+    wide = 200_000
+
+    def bounded(run):
+        def wrapped(batches):
+            for side in (lambda x: x, run):
+                batches = (lambda some: (checked(b) for b in some))(side(batches))
+            yield from batches
+
+        def checked(batch):
+            assert batch.num_rows == 1 or batch.get_total_buffer_size() <= (4 << 20) + 2 * wide, batch.get_total_buffer_size()
+            return batch
+
+        return wrapped
+
+    monkeypatch.setattr(packing, "settled", bounded)
+    docs = written(spark.range(100).repartition(1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), wide // 8).alias("text")))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = corpus_pipeline.packing(spark, docs, SF_DIR)
+    assert got.select("doc_id").distinct().count() == 100
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_packing_pieces():
+    """Pieces leave the worker PIECES at a time, and are the same however the rows come in batches."""
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["x" * (i * 37 % 5000) for i in range(3000)])], names=["id", "text"])
+    encode = lambda text: list(range(1, len(text) + 1))
+    got = list(packing.pieces(iter([rows]), encode, 7))
+    assert max(b.num_rows for b in got) <= packing.PIECES and max(b.nbytes for b in got) <= 3 << 20
+    parted = packing.pieces((rows.slice(at, 113) for at in range(0, 3000, 113)), encode, 7)
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(parted))
