@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm.common import table, written
+from rowloom.llm.common import BATCH, table, written
 from rowloom.llm.exact_dedup import deduplicated
 from rowloom.llm.jaccard_join import Plan, one_of_each
 from rowloom.llm.language_id import identified
 from rowloom.llm.mixing import mixed_documents
-from rowloom.llm.packing import BATCH, pack
+from rowloom.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids; stored here, as only then its texts go to workers in batches of a size set for it."""
+    """Pieces of token sequences, with their ids; stored here, as only then texts go to workers in batches of BATCH."""
     return written(pack(docs), batch=BATCH)
 
 

@@ -60,21 +60,32 @@ def _clean(spark: SparkSession, path: str) -> None:
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def written(df: DataFrame, path: str | None = None, batch: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives lost executors. batch: bytes of a batch that is sent to Python
-    workers meanwhile, where the session's own setting is too large for wide rows; it is as before afterwards."""
-    path = path or scratch(df.sparkSession)
-    conf = df.sparkSession.conf
-    before = conf.get(_BATCH)
+@contextlib.contextmanager
+def sending(spark: SparkSession, batch: str | None) -> Iterator[None]:
+    """For what runs inside: batch, bytes of a batch that is sent to Python workers, where the session's own setting is too large for
+    wide rows. It is as before afterwards."""
+    before = spark.conf.get(_BATCH)
     try:
         if batch:
-            conf.set(_BATCH, batch)
-        df.write.parquet(path)
+            spark.conf.set(_BATCH, batch)
+        yield
     finally:
-        conf.set(_BATCH, before)
+        spark.conf.set(_BATCH, before)
+
+
+def written(df: DataFrame, path: str | None = None, batch: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and outlives lost executors. batch: as in sending()."""
+    path = path or scratch(df.sparkSession)
+    with sending(df.sparkSession, batch):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What is sent to a Python worker at once: texts of 10,000 rows would take tens of MB in the executor, twice while they grow, and
+#: again in the worker, beside the heap.
+BATCH = "2m"
+
+
 #: Rows of a batch that are worked on at once where rows hold texts.
 ROWS = 512
 

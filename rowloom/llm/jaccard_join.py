@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import mix, numbered, placed, record, settled, slices, table, those_in, those_not_in, unpacked, word_hashes, written
+from rowloom.llm.common import BATCH, mix, numbered, placed, record, settled, slices, table, those_in, those_not_in, unpacked, word_hashes, written
 
 _U = np.uint64
 #: Bits of a set's sketch: at least, and at most.
@@ -46,8 +46,6 @@ RATIO = 1.5
 MEMBERS, ENTRIES = 1_000, 1 << 18
 #: Bytes of a batch that are worked on at once, where groups are smaller.
 HELD = 8 << 20
-#: What is sent to a Python worker at once: beside the heap, an executor holds some such batches.
-BATCH = "8m"
 
 
 class Plan:

@@ -32,9 +32,6 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import settled, slices, table
 
 CAPACITY = 1024
-#: Bytes of a batch that a pipeline sends to a Python worker at once: texts of 10,000 rows take tens of MB in the executor, twice
-#: while they grow, and again in the worker. Units go over batches, so pieces don't depend on it.
-BATCH = "2m"
 #: Pieces that a worker sends back at once: 4 KB of ids each at most, with CAPACITY.
 PIECES = 512
 #: Added tokens of the vocabulary, which the ranks don't hold.

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from rowloom.llm import exact_dedup, jaccard_join, mixing, packing
+from rowloom.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from rowloom.llm.common import written
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -171,8 +171,9 @@ def test_scans_split_otherwise(spark, tmp_path, monkeypatch, module, inner, oute
     assert got == want
 
 
-def test_packing_batches(spark, monkeypatch):
-    """What executors and packing's workers hold of texts and ids at once has a bound in bytes, whatever the rows are."""
+@pytest.mark.parametrize("module, name", [(packing, "packing"), (language_id, "language_id")])
+def test_batches(spark, monkeypatch, module, name):
+    """What executors and workers hold of texts and ids at once has a bound in bytes, whatever the rows are."""
     wide = 200_000
 
     def bounded(run):
@@ -181,16 +182,17 @@ def test_packing_batches(spark, monkeypatch):
                 batches = (lambda some: (checked(b) for b in some))(side(batches))
             yield from batches
 
-        def checked(batch):
-            assert batch.num_rows == 1 or batch.get_total_buffer_size() <= (4 << 20) + 2 * wide, batch.get_total_buffer_size()
+        def checked(batch):  # of texts and pieces, or a column of texts
+            size = batch.get_total_buffer_size() if hasattr(batch, "get_total_buffer_size") else sum(len(str(x or "")) for x in getattr(batch, "array", batch))
+            assert len(batch) == 1 or size <= (4 << 20) + 2 * wide, size
             return batch
 
         return wrapped
 
-    monkeypatch.setattr(packing, "settled", bounded)
-    docs = written(spark.range(100).repartition(1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), wide // 8).alias("text")))
+    monkeypatch.setattr(module, "settled", bounded)
+    docs = written(spark.range(100).repartition(1).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), wide // 8).alias("text")))
     before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
-    got = corpus_pipeline.packing(spark, docs, SF_DIR)
+    got = getattr(corpus_pipeline, name)(spark, docs, SF_DIR)
     assert got.select("doc_id").distinct().count() == 100
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
 
